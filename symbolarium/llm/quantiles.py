@@ -30,7 +30,7 @@ COUNTED = 1 << (BITS - FINE)
 ROWS, WIDTH = 5, 256
 CELLS = COUNTED + FINE * ROWS * WIDTH
 #: Share of the number of values by which the rank of a result may be off.
-RANK_ERROR = 0.05
+RANK_ERROR = 0.02
 #: Sketches that are open at once in a Python worker.
 OPEN = 64
 
