@@ -163,7 +163,8 @@ def build(frequencies_: DataFrame, keys: list[str]) -> DataFrame:
     A sketch of few codes is stored as the list of its updates, which takes less room than the
     counters they add to; it is expanded when sketches are merged or read.
     """
-    rows = frequencies_.repartition(*keys).select(F.xxhash64(*keys).alias("__h"), *keys, "code", "n").sortWithinPartitions("__h", *keys, "code")
+    # low and high aren't needed here; with them the shuffle is the same as that of a check by the codes' bounds, and Spark runs it once
+    rows = frequencies_.repartition(*keys).select(F.xxhash64(*keys).alias("__h"), *keys, "code", "n", "low", "high").sortWithinPartitions("__h", *keys, "code")
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """
     checkpoint_dir(spark)
     symbols = table(spark, root, "symbols")
-    counted = quantiles.frequencies(_metrics(symbols).filter("language IS NOT NULL"), _P1, F.col("value")).repartition(*_P1)
+    counted = quantiles.frequencies(_metrics(symbols).filter("project IS NOT NULL AND language IS NOT NULL"), _P1, F.col("value")).repartition(*_P1)
     error = quantiles.RANK_ERROR
     ends = quantiles.quantiles(quantiles.build(counted, _P1), _P1, [0.5 - error, 0.9 + error])
     candidates = (
