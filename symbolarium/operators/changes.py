@@ -19,9 +19,9 @@ from symbolarium.functions import normalise as N
 from symbolarium.functions.sizing import attach
 from symbolarium.operators.current import latest
 
-#: A key starts a chunk with this probability: chunks have 32 rows on average.
-CHUNK_ROWS = 32
-#: Bytes of a key's chunk digest: two sums of independent 64-bit hashes and the number of rows.
+#: A key starts a chunk with this probability: chunks have 4 rows on average, as a seventh of the rows change from snapshot to snapshot.
+CHUNK_ROWS = 4
+#: Multiplier of the second hash in a chunk's digest.
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # 2^64 divided by the golden ratio
 
 
