@@ -106,13 +106,13 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, chunk_rows: int = CH
     within a snapshot, ``attr`` a hash of what counts as a change. Repeated keys: the row
     delivered last counts. ``snapshots`` is the result of :func:`operators.current.snapshots`; a
     snapshot without rows is empty, so that it removes all of the one before; rows of unknown
-    snapshots are left out. Null keys are keys. Other columns are ignored.
+    snapshots are left out. Null keys are keys, a null ``attr`` is 0. Other columns are ignored.
 
     One shuffle of all rows, by ranges of the key: a file of any size is spread over tasks, yet the
     snapshots of a key stay together. Python holds two snapshots of one range at a time.
     """
     keyed = attach(
-        rows.select("snapshot_hash", "kind", "file", "item", "attr", "delivered_at"),
+        rows.select("snapshot_hash", "kind", "file", "item", F.coalesce("attr", F.lit(0)).cast("long").alias("attr"), "delivered_at"),
         snapshots.select("snapshot_hash", "project", "ord", "n"),
         ["snapshot_hash"],
     ).drop("snapshot_hash")

@@ -24,12 +24,12 @@ def snapshots(project_states: DataFrame) -> DataFrame:
     """``snapshot_hash, project, ord, n, at``: each project's snapshots in the order of ``updated_at``.
 
     ``ord`` counts from 0, ``n`` is the number of the project's snapshots, ``at`` seconds since
-    1970. Repeated deliveries count once; equal times are ordered by hash; rows without hash or
-    ``updated_at`` can't be ordered and are left out.
+    1970. Repeated deliveries count once; equal times are ordered by hash; rows without hash,
+    project or ``updated_at`` can't be ordered and are left out.
     """
     one = (
         project_states.select("project", N.hash_id("snapshot_hash").alias("snapshot_hash"), "updated_at")
-        .filter("snapshot_hash IS NOT NULL AND updated_at IS NOT NULL")
+        .filter("snapshot_hash IS NOT NULL AND project IS NOT NULL AND updated_at IS NOT NULL")
         .groupBy("snapshot_hash")
         .agg(F.min("project").alias("project"), F.min("updated_at").alias("updated_at"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.functions import globs, paths
 from symbolarium.operators.score import innermost
+from symbolarium.session import checkpoint_dir
 
 # Weights of derived edges.
 SCOPE_WEIGHT, NAMING_WEIGHT, IMPORT_WEIGHT = 0.7, 0.9, 0.6
@@ -304,13 +305,15 @@ def blast_radius(edge_rows: DataFrame, seeds: DataFrame, depth: int = 3) -> Data
     backward = edge_rows.filter(F.col("type").isin(*BACKWARDS)).select(
         "project", F.col("dst").alias("at"), F.col("src").alias("to"), "weight", F.struct(F.lit(1).alias("d"), "type", F.col("src").alias("n")).alias("o")
     )
-    steps = forward.unionByName(backward)
+    checkpoint_dir(edge_rows.sparkSession)
+    steps = forward.unionByName(backward).checkpoint()  # joined on every level
     key = ["project", "seed"]
     frontier = seeds.select(*key, F.col("seed").alias("at"), F.lit(1.0).alias("first"), F.lit(0).cast("long").alias("pos"))
     seen = frontier.select(*key, F.col("at").alias("to"))
     taken = None
     for level in range(1, depth + 1):
         reached = frontier.join(steps, ["project", "at"]).select(*key, "to", (F.col("first") * F.col("weight")).alias("part"), F.struct("pos", "o").alias("order"), F.lit(level).alias("depth"))
+        reached = reached if level == depth else reached.checkpoint()  # read by the result and the next level
         taken = reached if taken is None else taken.unionByName(reached)
         if level == depth:
             break
@@ -327,14 +330,17 @@ def shortest_paths(edge_rows: DataFrame, pairs: DataFrame, most: int = 6) -> Dat
     The frontier holds one row for each pair and node reached first on that level, with the least
     path to it, so that it never exceeds the number of nodes a pair can reach.
     """
-    steps = edge_rows.select("project", F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    checkpoint_dir(edge_rows.sparkSession)
+    steps = edge_rows.select("project", F.col("src").alias("at"), F.col("dst").alias("to")).distinct().checkpoint()
     key = ["project", "a", "b"]
     frontier = pairs.select("project", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("src").alias("at"), F.array("src").alias("path"))
     seen, found = frontier, frontier.filter("a = b").select(*key, "path")
     frontier = frontier.filter("a <> b")
     for _ in range(most):
         ahead = frontier.join(steps, ["project", "at"]).select(*key, F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        new = ahead.join(seen.select(*key, "at"), [*key, "at"], "left_anti").groupBy(*key, "at").agg(F.min("path").alias("path"))
+        new = ahead.join(seen.select(*key, "at"), [*key, "at"], "left_anti").groupBy(*key, "at").agg(F.min("path").alias("path")).checkpoint()
+        if new.isEmpty():
+            break
         found = found.unionByName(new.filter("at = b").select(*key, "path"))
         open_ = new.join(new.filter("at = b").select(*key), key, "left_anti")
         seen, frontier = seen.unionByName(open_), open_

@@ -45,7 +45,8 @@ def symbol_versions(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
 
     Rows delivered wrong first and right later count as delivered last. A version lasts from the
     time of its first snapshot to that of the snapshot after its last one, or -1 while it is in the
-    project's last snapshot. Null attributes are values. Rows of unknown snapshots are left out.
+    project's last snapshot. Null attributes are values, a null file or name reads as empty in ``item``.
+    Rows of unknown snapshots are left out.
     """
     seen = attach(
         symbols.select(
@@ -67,7 +68,7 @@ def symbol_versions(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
         began.withColumn("after", F.col("last") + 1), times.select("project", F.col("ord").alias("after"), F.col("at").alias("valid_to")), ["project", "after"], "left"
     )
     return ended.select(
-        F.lit("symbol").alias("kind"), "project", F.concat("file", F.lit("#"), "name").alias("item"), "valid_from", F.coalesce("valid_to", F.lit(-1).cast("long")).alias("valid_to")
+        F.lit("symbol").alias("kind"), "project", F.concat(F.coalesce("file", F.lit("")), F.lit("#"), F.coalesce("name", F.lit(""))).alias("item"), "valid_from", F.coalesce("valid_to", F.lit(-1).cast("long")).alias("valid_to")
     )
 
 
@@ -75,12 +76,12 @@ def intent_versions(updates: DataFrame) -> DataFrame:
     """``kind, project, item, valid_from, valid_to``: versions of intents by ``status``.
 
     The ordinals are those of the intent's own update times. Updates without a status (null or
-    blank) or time are left out; of updates of equal time the one delivered last counts, then the
+    blank), time, project or id are left out; of updates of equal time the one delivered last counts, then the
     greatest status. An update that repeats the status continues the version.
     """
     entity = ["project", "id"]
     rows = updates.select(*entity, N.seconds("updated_at").alias("at"), N.label("status").alias("status"), "delivered_at")
-    rows = rows.filter("status <> '' AND at IS NOT NULL")
+    rows = rows.filter("status <> '' AND at IS NOT NULL AND project IS NOT NULL AND id IS NOT NULL")
     one = rows.groupBy(*entity, "at").agg(F.max(F.struct("delivered_at", "status"))["status"].alias("status"))
     w = Window.partitionBy(*entity)
     seen = one.repartition(*entity).select(

@@ -14,6 +14,7 @@ from symbolarium.functions import normalise as N
 from symbolarium.functions.sizing import attach
 from symbolarium.operators import cochange, current, extract, graph, reports, score, similarity, snapshots
 from symbolarium.plans import sql
+from symbolarium.session import checkpoint_dir
 from symbolarium.sources import delimited, table
 from symbolarium.sources.languages import LANGUAGES
 
@@ -96,7 +97,7 @@ TODOS = f"""todos_ AS (
 INTENTS = f"""intents_ AS (
   SELECT project, id, epoch(updated_at)::BIGINT AS updated, {sql.label('status')} AS status, lower(type) AS type, severity, scope, message, tags
   FROM intent_updates QUALIFY row_number() OVER (PARTITION BY project, id
-    ORDER BY updated_at DESC, delivered_at DESC, {sql.label('status')} DESC NULLS LAST, lower(type) DESC NULLS LAST, severity DESC NULLS LAST, scope DESC NULLS LAST, message DESC NULLS LAST) = 1)"""
+    ORDER BY updated_at DESC, delivered_at DESC, {sql.label('status')} DESC NULLS LAST, lower(type) DESC NULLS LAST, severity DESC NULLS LAST, scope DESC NULLS LAST, message DESC NULLS LAST, tags DESC NULLS LAST) = 1)"""
 FACTS = f"facts AS (SELECT DISTINCT project, lower(hash) AS hash, {sql.path('file')} AS file FROM commit_files)"
 CHANGES = f"""{FACTS},
 changes_ AS (
@@ -655,7 +656,8 @@ def blast_radius(spark: SparkSession, root: str) -> DataFrame:
 )
 def shortest_path(spark: SparkSession, root: str) -> DataFrame:
     """From the first scoped intent of each project to the last node two steps away."""
-    _, e = _small_graph(spark, root)
+    checkpoint_dir(spark)
+    e = _small_graph(spark, root)[1].checkpoint()
     first = e.filter("type = 'SCOPE_MATCH'").groupBy("project").agg(F.min("src").alias("src"))
     one = e.join(first, ["project", "src"], "left_semi").select("project", F.col("src").alias("start"), F.col("dst").alias("src"))
     ends = one.join(e.select("project", "src", "dst"), ["project", "src"]).groupBy("project", F.col("start").alias("src")).agg(F.max("dst").alias("dst"))
