@@ -80,7 +80,7 @@ def cut(strength: np.ndarray, offsets: np.ndarray, limit: int, overlap: int) ->
     # strength above position: the greatest key is the strongest cut, the rightmost of equal ones
     bits = max(1, len(strength)).bit_length()
     table = RangeMaximum((strength.astype(np.int64) << bits) | np.arange(len(strength)), limit - least + 1)
-    out = []
+    out = [(text[:0], number[:0], at[:0], at[:0])]
     while len(text):
         rest = end[text] - at
         done = rest <= limit
