@@ -22,7 +22,7 @@ def tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[
     """``path`` (relative), ``mtime, length, content``: files below ``root`` that are included and not excluded.
 
     The patterns are compared with paths only; Spark reads a file's content where a query needs it
-    and the path has passed.
+    and the path has passed. Files and folders whose names begin with a dot or underscore are left out, as by all of Spark's readers.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = found.select(F.regexp_replace("path", "^file:/*", "/").alias("p"), F.col("modificationTime").alias("mtime"), "length", "content")
@@ -37,13 +37,24 @@ def code_files(files: DataFrame, languages: list[Language] = LANGUAGES) -> DataF
 
 
 def ignore_patterns(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:
-    """Exclude patterns of all ignore files below ``root``; these are few and small, so the driver reads them."""
-    found = tree(spark, root, include=[f"**/{name}", name]).select("path", F.col("content").cast("string").alias("text"))
-    patterns = []
-    for r in found.orderBy("path").collect():
-        folder = r.path[: -len(name)].rstrip("/")
-        patterns += [p for line in r.text.splitlines() if (p := globs.ignore_line(line, folder))]
-    return patterns
+    """Exclude patterns of all ignore files below ``root``; these are few and small, so the driver reads them.
+
+    Spark's readers skip files whose names begin with a dot, so they are listed and read through the file system.
+    """
+    jvm = spark._jvm
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(start).toString().rstrip("/") + "/"
+    patterns, listing = [], fs.listFiles(start, True)
+    while listing.hasNext():
+        path = listing.next().getPath()
+        if path.getName() == name:
+            folder = path.toString().removeprefix(base)[: -len(name)].rstrip("/")
+            stream = fs.open(path)
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            patterns += [p for line in text.splitlines() if (p := globs.ignore_line(line, folder))]
+    return sorted(set(patterns))
 
 
 def with_hash(files: DataFrame) -> DataFrame:
