@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from symbolarium.functions import globs, paths
 from symbolarium.operators.score import innermost
-from symbolarium.session import checkpoint_dir
+from symbolarium.session import checkpoint_dir, stored
 
 # Weights of derived edges.
 SCOPE_WEIGHT, NAMING_WEIGHT, IMPORT_WEIGHT = 0.7, 0.9, 0.6
@@ -306,7 +306,7 @@ def blast_radius(edge_rows: DataFrame, seeds: DataFrame, depth: int = 3) -> Data
         "project", F.col("dst").alias("at"), F.col("src").alias("to"), "weight", F.struct(F.lit(1).alias("d"), "type", F.col("src").alias("n")).alias("o")
     )
     checkpoint_dir(edge_rows.sparkSession)
-    steps = forward.unionByName(backward).checkpoint()  # joined on every level
+    steps = stored(forward.unionByName(backward))  # joined on every level
     key = ["project", "seed"]
     frontier = seeds.select(*key, F.col("seed").alias("at"), F.lit(1.0).alias("first"), F.lit(0).cast("long").alias("pos"))
     seen = frontier.select(*key, F.col("at").alias("to"))
@@ -331,7 +331,7 @@ def shortest_paths(edge_rows: DataFrame, pairs: DataFrame, most: int = 6) -> Dat
     path to it, so that it never exceeds the number of nodes a pair can reach.
     """
     checkpoint_dir(edge_rows.sparkSession)
-    steps = edge_rows.select("project", F.col("src").alias("at"), F.col("dst").alias("to")).distinct().checkpoint()
+    steps = stored(edge_rows.select("project", F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
     key = ["project", "a", "b"]
     frontier = pairs.select("project", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("src").alias("at"), F.array("src").alias("path"))
     seen, found = frontier, frontier.filter("a = b").select(*key, "path")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolarium.functions.text import terms
-from symbolarium.session import checkpoint_dir
+from symbolarium.session import stored
 
 
 def weights(texts: DataFrame, group: str, idf: bool = True) -> DataFrame:
@@ -33,8 +33,7 @@ def related(texts: DataFrame, group: str, threshold: float, top: int, idf: bool
     no pair is lost, and the most frequent terms, whose posting lists are the longest, hardly ever
     take part in a join. Candidates are then scored over all terms.
     """
-    checkpoint_dir(texts.sparkSession)
-    v = weights(texts, group, idf).checkpoint()  # read four times below
+    v = stored(weights(texts, group, idf))  # read four times below
     w = Window.partitionBy(group, "id").orderBy(F.col("df").desc(), F.col("term").desc())
     rest = F.sum(F.col("w") * F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # a term is in the prefix if those more frequent than it, together with it, could reach the threshold

@@ -14,7 +14,7 @@ from symbolarium.functions import normalise as N
 from symbolarium.functions.sizing import attach
 from symbolarium.operators import cochange, current, extract, graph, reports, score, similarity, snapshots
 from symbolarium.plans import sql
-from symbolarium.session import checkpoint_dir
+from symbolarium.session import stored
 from symbolarium.sources import delimited, table
 from symbolarium.sources.languages import LANGUAGES
 
@@ -656,8 +656,7 @@ def blast_radius(spark: SparkSession, root: str) -> DataFrame:
 )
 def shortest_path(spark: SparkSession, root: str) -> DataFrame:
     """From the first scoped intent of each project to the last node two steps away."""
-    checkpoint_dir(spark)
-    e = _small_graph(spark, root)[1].checkpoint()
+    e = stored(_small_graph(spark, root)[1])
     first = e.filter("type = 'SCOPE_MATCH'").groupBy("project").agg(F.min("src").alias("src"))
     one = e.join(first, ["project", "src"], "left_semi").select("project", F.col("src").alias("start"), F.col("dst").alias("src"))
     ends = one.join(e.select("project", "src", "dst"), ["project", "src"]).groupBy("project", F.col("start").alias("src")).agg(F.max("dst").alias("dst"))
