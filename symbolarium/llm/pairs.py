@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symbolarium.functions.sizing import attach
+from symbolarium.session import stored
 
 #: A basket of more items is split into chunks of about this many.
 BLOCK = 128
@@ -33,13 +34,13 @@ def together(
     chunks is a row of its own, so that the products of a huge basket are spread over all tasks.
     Items are 64-bit hashes within a group until the pairs are counted.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(basket).alias("k"), F.col(item).alias("i")).dropna().distinct()
-    items = rows.groupBy("g", "i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_together)
-    totals = rows.select("g", "k").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n_all"))
+    keyed = [F.xxhash64("g").alias("gid"), F.xxhash64("g", "k").alias("bid"), F.xxhash64("i").alias("id")]
+    rows = stored(df.select(F.col(group).alias("g"), F.col(basket).alias("k"), F.col(item).alias("i")).dropna().distinct().select("g", "i", *keyed))
+    items = stored(rows.groupBy("g", "i", "gid", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_together))
+    totals = rows.select("g", "gid", "bid").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n_all"))
 
-    used = attach(rows, items, ["g", "i"]).select(
-        F.xxhash64("g").alias("gid"), F.xxhash64("g", "k").alias("bid"), F.struct(F.xxhash64("i").alias("id"), "n").alias("x")
-    )
+    # Spark broadcasts the items only if their stored size is small, else it shuffles both sides
+    used = stored(rows.select("gid", "bid", "id").join(items.select("gid", "id", "n"), ["gid", "id"]).select("gid", "bid", F.struct("id", "n").alias("x")))
     sizes = used.groupBy("gid", "bid").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.filter(F.col("size") > block).select("gid", "bid", F.ceil(F.col("size") / block).cast("int").alias("chunks"))
     chunked = attach(used, large, ["gid", "bid"], "left").select(
@@ -65,10 +66,10 @@ def together(
     jaccard = F.col("together") / (F.col("n_p") + F.col("n_q") - F.col("together"))
     kept = counted.filter(F.col("together") >= min_together).withColumn("jaccard", jaccard).filter(F.col("jaccard") >= min_jaccard)
 
-    named = items.select(F.xxhash64("g").alias("gid"), F.xxhash64("i").alias("id"), "g", "i")
+    named = items.select("gid", "id", "g", "i")
     first = named.select("gid", F.col("id").alias("p"), "g", F.col("i").alias("ip"))
     second = named.select("gid", F.col("id").alias("q"), F.col("i").alias("iq"))
-    full = attach(attach(attach(kept, first, ["gid", "p"]), second, ["gid", "q"]), totals, ["g"])
+    full = attach(kept.join(first, ["gid", "p"]).join(second, ["gid", "q"]), totals, ["g"])
     swapped = F.col("iq") < F.col("ip")
     return full.select(
         F.col("g").alias(group),
