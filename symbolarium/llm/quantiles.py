@@ -135,15 +135,16 @@ def _inverted(counters: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return node
 
 
-def frequencies(df: DataFrame, keys: list[str], value: Column, count: Column | None = None) -> DataFrame:
-    """``keys..., code, n, low, high``: how often each code occurs, with the least and greatest value of it.
+def frequencies(df: DataFrame, keys: list[str], value: Column, count: Column | None = None, bounds: bool = False) -> DataFrame:
+    """``keys..., code, n[, low, high]``: how often each code occurs, with ``bounds`` also its least and greatest value.
 
     ``count`` is 1 for each row, or a column that is negative for rows to be removed. Partial
     aggregates collapse a key of any number of rows to at most 2**19 rows before the shuffle.
     """
     rows = df.select(*keys, value.cast("double").alias("__v"), (F.lit(1) if count is None else count).cast("long").alias("__n"))
     coded = rows.withColumn("code", code(F.col("__v"))).filter("code IS NOT NULL")
-    return coded.groupBy(*keys, "code").agg(F.sum("__n").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    more = [F.min("__v").alias("low"), F.max("__v").alias("high")] if bounds else []
+    return coded.groupBy(*keys, "code").agg(F.sum("__n").alias("n"), *more)
 
 
 def _fields(df: DataFrame, keys: list[str]) -> str:
@@ -163,8 +164,9 @@ def build(frequencies_: DataFrame, keys: list[str]) -> DataFrame:
     A sketch of few codes is stored as the list of its updates, which takes less room than the
     counters they add to; it is expanded when sketches are merged or read.
     """
-    # low and high aren't needed here; with them the shuffle is the same as that of a check by the codes' bounds, and Spark runs it once
-    rows = frequencies_.repartition(*keys).select(F.xxhash64(*keys).alias("__h"), *keys, "code", "n", "low", "high").sortWithinPartitions("__h", *keys, "code")
+    # bounds aren't needed here; with them the shuffle is the same as that of a check by the codes' bounds, and Spark runs it once
+    more = [c for c in ("low", "high") if c in frequencies_.columns and c not in keys]
+    rows = frequencies_.repartition(*keys).select(F.xxhash64(*keys).alias("__h"), *keys, "code", "n", *more).sortWithinPartitions("__h", *keys, "code")
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """
     checkpoint_dir(spark)
     symbols = table(spark, root, "symbols")
-    counted = quantiles.frequencies(_metrics(symbols).filter("project IS NOT NULL AND language IS NOT NULL"), _P1, F.col("value")).repartition(*_P1)
+    counted = quantiles.frequencies(_metrics(symbols).filter("project IS NOT NULL AND language IS NOT NULL"), _P1, F.col("value"), bounds=True).repartition(*_P1)
     error = quantiles.RANK_ERROR
     ends = quantiles.quantiles(quantiles.build(counted, _P1), _P1, [0.5 - error, 0.9 + error])
     candidates = (
@@ -106,8 +106,10 @@ def _exceeds(top0: str, top1: str, middle0: str, middle1: str) -> Column:
 
 def p1_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Percentiles of each language and metric, from the merged sketches of single snapshots."""
-    keys = ["snapshot_hash", "language", "metric"]
-    counted = quantiles.frequencies(_metrics(table(spark, root, "symbols")), keys, F.col("value"))
+    keys = ["snapshot", "language", "metric"]
+    # a snapshot's hash as a number: where two were the same their sketches would be added here already
+    values = _metrics(table(spark, root, "symbols")).withColumn("snapshot", F.xxhash64("snapshot_hash"))
+    counted = quantiles.frequencies(values, keys, F.col("value"))
     merged = quantiles.merge(quantiles.build(counted, keys), ["language", "metric"])
     found = quantiles.quantiles(merged, ["language", "metric"], [0.25, 0.5, 0.75, 0.9, 0.99])
     return found.select("language", "metric", "n", "q", ((F.col("low") + F.col("high")) / 2).alias("value"))
