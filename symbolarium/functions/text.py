@@ -89,16 +89,41 @@ def one_line(message: Column, most: int | None = None) -> Column:
 def age_text(then: Column, now: Column) -> Column:
     """How long ago, in words; seconds since 1970 on both sides. Null stays null."""
     s = (now - then).cast("long")
-    n = F.when(s < 3600, F.floor(s / 60)).when(s < 86400, F.floor(s / 3600)).when(s < 7 * 86400, F.floor(s / 86400)).when(s < 30 * 86400, F.floor(s / (7 * 86400))).otherwise(F.floor(s / (30 * 86400)))
-    unit = F.when(s < 3600, "minute").when(s < 86400, "hour").when(s < 7 * 86400, "day").when(s < 30 * 86400, "week").otherwise("month")
-    return F.when(s < 60, "just now").otherwise(F.concat(n.cast("string"), F.lit(" "), unit, F.when(n == 1, "").otherwise("s"), F.lit(" ago")))
+
+    def ago(seconds: int, unit: str) -> Column:
+        return F.concat(F.floor(s / seconds).cast("string"), F.lit(f" {unit} ago"))
+
+    day = 86400
+    return (
+        F.when(s < 60, "just now")
+        .when(s < 3600, ago(60, "minutes"))
+        .when(s < day, ago(3600, "hours"))
+        .when(s < 7 * day, ago(day, "days"))
+        .when(s < 30 * day, ago(7 * day, "weeks"))
+        .otherwise(ago(30 * day, "months"))
+    )
+
+
+#: Words by which todos are classed, in the order they are looked for.
+TODO_CLASSES = {"FIX": ["FIXME", "FIX", "BUG", "HACK"], "TODO": ["TODO", "TBD"], "NOTE": ["NOTE", "INFO"]}
 
 
 def todo_class(kind: Column, text: Column) -> Column:
-    """FIX, NOTE or TODO, by the type, else by a word in the text."""
-    k, t = F.upper(F.coalesce(kind, F.lit(""))), F.upper(F.coalesce(text, F.lit("")))
-    fix = ["FIXME", "FIX", "BUG", "HACK", "XXX"]
-    return F.when(k.isin(*fix), "FIX").when(k == "NOTE", "NOTE").when(k == "TODO", "TODO").when(t.rlike("|".join(fix)), "FIX").when(t.contains("NOTE"), "NOTE").otherwise("TODO")
+    """FIX, TODO or NOTE: by the type if it is one of their words, else by the first of them in the text, else TODO."""
+    k, t = F.upper(F.trim(F.coalesce(kind, F.lit("")))), F.upper(F.coalesce(text, F.lit("")))
+    by_type, by_text = F.lit(None).cast("string"), F.lit("TODO")
+    for name, found in reversed(TODO_CLASSES.items()):
+        by_type = F.when(k.isin(*found), name).otherwise(by_type)
+        by_text = F.when(t.rlike("|".join(found)), name).otherwise(by_text)
+    return F.coalesce(by_type, by_text)
+
+
+def without_comment_marks(text: Column) -> Column:
+    """Comment marks off the start, one of each kind at most, in a fixed order."""
+    t = F.btrim(text, F.lit(" \t\r\n"))
+    for mark in ("//", "#", "/\\*", "\\*/", "\\*"):
+        t = F.regexp_replace(t, f"^{mark}\\s*", "")
+    return t
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -357,3 +357,14 @@ def exported_nodes(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Nodes with their degree and attributes as a sorted ``k=v`` list."""
     attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
     return node_rows.join(degrees(edge_rows), ["project", "id"], "left").select("project", "id", "type", "label", attrs.alias("attrs"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def exported_edges(edge_rows: DataFrame) -> DataFrame:
+    """Edges for the delimited export: the id of each and the weight with four decimals."""
+    own = F.concat_ws("|", "type", "src", "dst")
+    return edge_rows.select("project", own.alias("id"), "type", "src", "dst", F.format_string("%.4f", F.coalesce("weight", F.lit(0.0))).alias("weight"))
+
+
+def node_size(degree: Column) -> Column:
+    """Size at which a node is drawn."""
+    return 2 + F.log2(degree + 1)

@@ -780,3 +780,91 @@ def context_export(spark: SparkSession, root: str) -> DataFrame:
 @_query(f"WITH {SYMBOLS}, {TODOS}, {INTENTS} SELECT project, true AS valid FROM (SELECT project FROM symbols_ WHERE state IS NOT NULL UNION SELECT project FROM todos_ WHERE NOT resolved UNION SELECT project FROM intents_ WHERE status = 'active')")
 def context_hash_valid(spark: SparkSession, root: str) -> DataFrame:
     return delimited.verified(delimited.context_text(context_export(spark, root))).select("project", "valid")
+
+
+_ESC = r"replace(replace(replace(%s, '\\', '\\\\'), chr(10), '\\n'), '|', '\\|')"
+
+
+@_query(
+    f"""WITH {SYMBOLS}, {TODOS}, {INTENTS}
+    SELECT project, 'intents' AS section, id || '|' || {_ESC % "coalesce(type, '')"} || '|' || coalesce(severity::VARCHAR, '') || '|' || status || '|' || {_ESC % "coalesce(message, '')"} AS line FROM intents_ WHERE status = 'active'
+    UNION ALL SELECT project, 'symbols', state || '|' || count(*) FROM symbols_ WHERE state IN ('planned', 'unstable', 'unused', 'abandoned') GROUP BY project, state
+    UNION ALL SELECT project, 'todos', {_ESC % 'file'} || '|' || line || '|' || {_ESC % "coalesce(type, '')"} || '|' || {_ESC % "coalesce(text, '')"} FROM todos_ WHERE NOT resolved
+    UNION ALL SELECT project, 'snapshots', substr(snapshot_hash, 1, 8) FROM (SELECT *, count(*) OVER (PARTITION BY project) AS n FROM snaps) WHERE ord > n - 5"""
+)
+def context_report(spark: SparkSession, root: str) -> DataFrame:
+    return delimited.context_report(symbols(spark, root), todos(spark, root), intents(spark, root), _snaps(spark, root))
+
+
+@_query(f"WITH {_GRAPH} SELECT project, type || '|' || src || '|' || dst AS id, type, src, dst, printf('%.4f', weight) AS weight FROM edges_")
+def exported_edges(spark: SparkSession, root: str) -> DataFrame:
+    return graph.exported_edges(_small_graph(spark, root)[1])
+
+
+@_query(
+    f"""WITH {_GRAPH}, d AS (SELECT project, id, count(*) AS degree FROM (SELECT project, src AS id FROM edges_ UNION ALL SELECT project, dst FROM edges_) GROUP BY ALL)
+    SELECT n.project, n.id, n.type, coalesce(degree, 0) AS degree, round(2 + log2(coalesce(degree, 0) + 1), 6) AS size FROM nodes_ n LEFT JOIN d USING (project, id)"""
+)
+def exported_nodes(spark: SparkSession, root: str) -> DataFrame:
+    out = graph.exported_nodes(*_small_graph(spark, root))
+    return out.select("project", "id", "type", "degree", F.round(graph.node_size(F.col("degree")), 6).alias("size"))
+
+
+@_query(f"WITH {_GRAPH}, kept AS (SELECT project, id FROM nodes_ WHERE type IN ('file', 'todo')) SELECT project, type, src, dst FROM edges_ e WHERE (project, src) IN (FROM kept) AND (project, dst) IN (FROM kept)")
+def visible_links(spark: SparkSession, root: str) -> DataFrame:
+    n, e = _small_graph(spark, root)
+    return graph.visible_links(n.filter("type IN ('file', 'todo')"), e).select("project", "type", "src", "dst")
+
+
+@_query(
+    """SELECT project, lower(hash) AS hash FROM commits WHERE committed_at IS NOT NULL GROUP BY project, lower(hash)
+    QUALIFY row_number() OVER (PARTITION BY project ORDER BY max(committed_at) DESC, lower(hash)) <= 20"""
+)
+def newest_commits(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "commits").filter("committed_at IS NOT NULL").groupBy("project", F.lower("hash").alias("hash")).agg(F.max("committed_at").alias("committed_at"))
+    return cochange.newest_commits(rows, 20).select("project", "hash")
+
+
+@_query(
+    f"""WITH {SYMBOLS}, {TODOS} SELECT project, file, line, CASE WHEN trim(type) IN ('FIXME', 'FIX', 'BUG', 'HACK') THEN 'FIX' WHEN trim(type) IN ('TODO', 'TBD') THEN 'TODO' WHEN trim(type) IN ('NOTE', 'INFO') THEN 'NOTE'
+      WHEN regexp_matches(upper(text), 'FIXME|FIX|BUG|HACK') THEN 'FIX' WHEN regexp_matches(upper(text), 'TODO|TBD') THEN 'TODO' WHEN regexp_matches(upper(text), 'NOTE|INFO') THEN 'NOTE' ELSE 'TODO' END AS class FROM todos_"""
+)
+def todo_classes(spark: SparkSession, root: str) -> DataFrame:
+    return todos(spark, root).select("project", "file", "line", text.todo_class(F.col("type"), F.col("text")).alias("class"))
+
+
+_AGE = f"({AS_OF} - moment)"
+
+
+@_query(
+    f"""WITH {sql.SNAPSHOTS} SELECT project, snapshot_hash, CASE WHEN {_AGE} < 60 THEN 'just now' WHEN {_AGE} < 3600 THEN ({_AGE} // 60) || ' minutes ago' WHEN {_AGE} < 86400 THEN ({_AGE} // 3600) || ' hours ago'
+      WHEN {_AGE} < 604800 THEN ({_AGE} // 86400) || ' days ago' WHEN {_AGE} < 2592000 THEN ({_AGE} // 604800) || ' weeks ago' ELSE ({_AGE} // 2592000) || ' months ago' END AS age FROM snaps"""
+)
+def snapshot_ages(spark: SparkSession, root: str) -> DataFrame:
+    return _snaps(spark, root).select("project", "snapshot_hash", text.age_text(F.col("at"), F.lit(AS_OF)).alias("age"))
+
+
+@_query(
+    f"""WITH tf AS (SELECT project, id, term, count(*) AS w FROM ({_terms_sql("(SELECT project, id, message AS txt FROM intents_)", 'project, id', 'txt')}) GROUP BY ALL),
+    u AS (SELECT project, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY project, id)) AS w FROM tf)
+    SELECT a.project, a.id, b.id AS other, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.project = b.project AND a.term = b.term AND a.id < b.id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.7000001""".replace("WITH tf", f"WITH {INTENTS}, tf", 1)
+)
+def cosine_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Intents of a project with much the same words, by plain cosine."""
+    rows = intents(spark, root).select("project", "id", F.col("message").alias("text"))
+    return similarity.cosine(rows, "project", 0.7000001).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(
+    f"""SELECT source, count(*) AS documents, (sum(strlen(text) // 4))::BIGINT AS estimated FROM documents WHERE text IS NOT NULL GROUP BY source"""
+)
+def token_estimates(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").filter("text IS NOT NULL")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(text.estimated_tokens(F.col("text"))).alias("estimated"))
+
+
+@_query()
+def intent_records(spark: SparkSession, root: str) -> DataFrame:
+    from symbolarium.operators import intents as intent_rows
+
+    return intent_rows.records(table(spark, root, "intent_updates"))

@@ -116,3 +116,21 @@ def verified(exports: DataFrame) -> DataFrame:
     stored = F.regexp_extract("text", r"(?s)hash\|([0-9a-f]{64})\n$", 1)
     body = F.regexp_extract("text", r"(?s)^(.*)hash\|[0-9a-f]{64}\n$", 1)
     return exports.withColumn("valid", (stored != "") & (F.sha2(body, 256) == stored))
+
+
+def context_report(symbols: DataFrame, todos: DataFrame, intents: DataFrame, snapshots: DataFrame, newest: int = 5) -> DataFrame:
+    """``project, section, line``: the short report for agents: active intents, counts of states that need something, open todos, the newest snapshots' short hashes.
+
+    ``snapshots`` is the result of :func:`operators.current.snapshots`.
+    """
+    counts = symbols.filter(F.col("state").isin("planned", "unstable", "unused", "abandoned")).groupBy("project", "state").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        intents.filter("status = 'active'").select("project", F.lit("intents").alias("section"), record("id", "type", "severity", "status", "message").alias("line")),
+        counts.select("project", F.lit("symbols").alias("section"), record("state", "n").alias("line")),
+        todos.filter("NOT coalesce(resolved, false)").select("project", F.lit("todos").alias("section"), record("file", "line", "type", "text").alias("line")),
+        snapshots.filter(F.col("ord") >= F.col("n") - newest).select("project", F.lit("snapshots").alias("section"), F.substring("snapshot_hash", 1, 8).alias("line")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -98,3 +98,26 @@ def test_git(spark):
     commits, files = git.log(spark, root, 3)
     assert 0 < commits.count() <= 3 and files.columns == ["hash", "file"] and git.head(spark, root).count() == 1
     assert git.head(spark, "/proc").count() == 0
+
+
+def test_intents(spark):
+    from symbolarium.operators import intents
+
+    schema = "project STRING, id STRING, type STRING, severity INT, status STRING, scope STRING, message STRING, tags ARRAY<STRING>, updated_at TIMESTAMP_NTZ, resolution STRUCT<method:STRING,description:STRING,resolved_at:TIMESTAMP_NTZ,resolved_by:STRING>"
+    df = spark.createDataFrame([("p", "i", "todo", 2, "active", "project", "a|b", ["x", "y"], datetime(2025, 1, 1), None), ("p", "j", None, None, None, None, None, None, None, None)], schema)
+    assert intents.added(df, df.filter("id = 'i'").drop("tags")).count() == 3
+    done = intents.ended(df, "i", "resolved", {"method": "fixed", "description": "d", "by": "me"}, F.lit(datetime(2025, 2, 1)))
+    row = done.filter("id = 'i'").head()
+    assert (row.status, row.resolution.method, row.updated_at) == ("resolved", "fixed", datetime(2025, 2, 1))
+    assert done.filter("id = 'j'").head().status is None
+    lines = sorted(r.line for r in intents.records(done).collect())
+    assert lines == ["i|todo|2|resolved|project|a\\|b|x,y|fixed:d:1738368000:me", "j|||||||"]
+    back = spark.createDataFrame([("fixed:d:1738368000:me",), ("",), ("a:b",)], "r STRING").select(intents.unpacked_resolution(F.col("r")).alias("u")).collect()
+    assert [None if r.u is None else (r.u.method, r.u.seconds, r.u.resolved_by) for r in back] == [("fixed", 1738368000, "me"), None, None]
+    try:
+        intents.ended(df, "zzz", "closed", {}, F.lit(datetime(2025, 2, 1)))
+        raise AssertionError("no error")
+    except LookupError:
+        pass
+    rules = spark.createDataFrame([("r", None)], "rule STRING, scope STRING")
+    assert intents.appended(rules, spark.createDataFrame([("r", None), ("s", "x"), ("s", "x")], "rule STRING, scope STRING"), ["rule", "scope"]).count() == 2

