@@ -6,6 +6,8 @@ each project's last snapshot. Clocks are a parameter: everything counts as of :d
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,10 @@ from symbolarium.functions import normalise as N
 from symbolarium.functions.sizing import attach
 from symbolarium.operators import cochange, current, extract, graph, reports, score, similarity, snapshots
 from symbolarium.plans import sql
-from symbolarium.session import stored
+from symbolarium.session import checkpoint_dir, stored
 from symbolarium.sources import delimited, table
 from symbolarium.sources.languages import LANGUAGES
+from symbolarium.streaming import deliveries
 
 #: 2026-01-01 00:00:00 UTC.
 AS_OF = 1_767_225_600
@@ -887,3 +890,28 @@ def intent_records(spark: SparkSession, root: str) -> DataFrame:
     from symbolarium.operators import intents as intent_rows
 
     return intent_rows.records(table(spark, root, "intent_updates"))
+
+
+# ---- streams ----
+
+
+@_query("SELECT project, strftime(delivered_at, '%Y-%m-%d') AS day, count(*) AS n FROM commit_files WHERE delivered_at IS NOT NULL GROUP BY ALL")
+def stream_deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """Deliveries of each project and day, counted by a stream over the table's files that runs until it has read all.
+
+    The watermark is wide, as one run reads files in any order. Each batch's changed counts are
+    written to the shared folder; a window's last count is its greatest.
+    """
+    checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    path = f"{root}/commit_files.parquet"
+    rows = deliveries.stream(spark, path, "project STRING, delivered_at TIMESTAMP_NTZ").filter("delivered_at IS NOT NULL")
+    counted = deliveries.windowed(rows, "delivered_at", ["project"], "1 day", "36500 days")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    query = counted.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema("project STRING, start TIMESTAMP, n BIGINT, batch INT").parquet(f"{base}/out")
+    return out.groupBy("project", F.date_format("start", "yyyy-MM-dd").alias("day")).agg(F.max("n").alias("n"))

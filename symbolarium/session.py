@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,13 @@ _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+def _local_folder() -> str:
+    """A folder of the driver that is removed when Python ends."""
+    folder = tempfile.mkdtemp(prefix="symbolarium")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
     spark = (
@@ -40,7 +49,7 @@ def ship(spark: SparkSession) -> SparkSession:
     on_path = str(_ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if on_path or app in _shipped:
         return spark
-    archive = Path(tempfile.mkdtemp(prefix="symbolarium")) / "symbolarium.zip"
+    archive = Path(_local_folder()) / "symbolarium.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(_ROOT.rglob("*.py")):
             z.write(p, p.relative_to(_ROOT.parent))
@@ -50,11 +59,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; set a folder only where none is set, as in tests."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a local folder only where none is set, as in tests on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="symbolarium-checkpoint"))
+        sc.setCheckpointDir(shared or _local_folder())
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -12,8 +12,12 @@ from symbolarium.operators.current import latest
 
 
 def stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
-    """Parquet files of a folder in the order they appear."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """Parquet files of a folder in the order they appear; a path of one file is a stream of that file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # Spark streams folders only
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def windowed(rows: DataFrame, ts: str, keys: list[str], width: str = "1 day", late: str = "7 days") -> DataFrame:
