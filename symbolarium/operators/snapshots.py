@@ -46,6 +46,27 @@ def chain(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return last.filter("__r.change <> 'removed'").select(*keys, *[F.col("__r")[c].alias(c) for c in values])
 
 
+def deltas(rows: DataFrame, keys: list[str], compared: list[str], seq: str = "ord", number: str = "n") -> DataFrame:
+    """``keys, seq, change`` and values: the :func:`diff` of each snapshot with the one before it, the first with an empty one.
+
+    ``rows`` has ``keys`` (with what the snapshots belong to), ``seq`` from 0 to ``number`` - 1 and values. A key's
+    snapshots are neighbours in one window, so that rows partitioned by some of ``keys`` aren't moved.
+    """
+    values = [c for c in rows.columns if c not in (*keys, seq, number)]
+    w = Window.partitionBy(*keys).orderBy(seq)
+    before = F.lag(F.struct(seq, *compared)).over(w)
+    same = F.lit(True)
+    for c in compared:
+        same = same & F.col(c).eqNullSafe(F.col("__before")[c])
+    change = F.when(F.col("__before").isNull() | (F.col("__before")[seq] < F.col(seq) - 1), "added").when(~same, "changed")
+    ends = (F.coalesce("__next", number) > F.col(seq) + 1) & (F.col(seq) + 1 < F.col(number))
+    own = F.struct(F.col(seq).alias("seq"), change.alias("change"))
+    end = F.struct((F.col(seq) + 1).alias("seq"), F.when(ends, "removed").alias("change"))
+    placed = rows.withColumn("__before", before).withColumn("__next", F.lead(seq).over(w))
+    each = placed.withColumn("__d", F.explode(F.filter(F.array(own, end), lambda d: d["change"].isNotNull())))
+    return each.select(*keys, "__d.seq", "__d.change", *values)
+
+
 def chain_of(headers: DataFrame, target: str) -> DataFrame:
     """``hash, seq``: the objects that make up ``target``, from its checkpoint on; a chain is at most ``CHECKPOINT_EVERY`` long.
 

@@ -701,6 +701,10 @@ def test_coverage(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- snapshots ----
 
+#: What makes a symbol a changed one.
+_VALUES = ["state", "confidence", "churn_count", "instability_score"]
+_ENTRY = ["kind", "file", "item"]
+
 
 def _versions(spark: SparkSession, root: str) -> DataFrame:
     """Current rows of all snapshots with their ordinals."""
@@ -709,6 +713,28 @@ def _versions(spark: SparkSession, root: str) -> DataFrame:
     return attach(current.latest(rows, ["snapshot_hash", "file", "name"]), snaps, ["snapshot_hash"]).drop("delivered_at", "snapshot_hash")
 
 
+def _entries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and todos of all snapshots: ``project, ord, n, kind, file, item``, a symbol's compared values, a todo's text, type and being resolved.
+
+    Partitioned by file and item, which serves current rows and whatever is grouped by entity later.
+    """
+    snaps = _snaps(spark, root).select("snapshot_hash", "project", "ord", "n")
+    rows = table(spark, root, "symbols").select(N.hash_id("snapshot_hash").alias("snapshot_hash"), N.path("file").alias("file"), F.col("name").alias("item"), N.label("state").alias("state"), *_VALUES[1:], "delivered_at")
+    s = current.latest(attach(rows, snaps, ["snapshot_hash"]).repartition("file", "item"), ["snapshot_hash", "file", "item"])
+    rows = table(spark, root, "todos").select(
+        N.hash_id("snapshot_hash").alias("snapshot_hash"), N.path("file").alias("file"), F.col("line").cast("string").alias("item"),
+        F.struct("delivered_at", "text", F.upper(F.btrim("type", F.lit(" \t"))).alias("type"), F.coalesce("resolved", F.lit(False)).alias("resolved")).alias("b"),
+    )
+    t = attach(rows, snaps, ["snapshot_hash"]).repartition("file", "item").groupBy("snapshot_hash", "project", "ord", "n", "file", "item").agg(F.max("b").alias("b"))
+    key = ["project", "ord", "n"]
+    return s.select(*key, F.lit("symbol").alias("kind"), "file", "item", *_VALUES), t.select(*key, F.lit("todo").alias("kind"), "file", "item", "b.text", "b.type", "b.resolved")
+
+
+def _all_entries(spark: SparkSession, root: str) -> DataFrame:
+    s, t = _entries(spark, root)
+    return s.unionByName(t, allowMissingColumns=True)
+
+
 _TWO = f"""{sql.CURRENT}, {sql.SNAPSHOTS}, v AS (SELECT s.project, s.ord, s.next_hash IS NULL AS is_last, c.file, c.name, c.state, c.churn_count FROM current_symbols c JOIN snaps s USING (snapshot_hash)),
 last_ AS (SELECT * FROM v WHERE is_last), first_ AS (SELECT * FROM v WHERE ord = 1)"""
 
@@ -747,6 +773,45 @@ def delta_chain(spark: SparkSession, root: str) -> DataFrame:
     return snapshots.chain(deltas, key).select(*key, "state", "churn_count")
 
 
+_WHOLE = f"""{sql.CURRENT}, {sql.SNAPSHOTS}, rows_ AS (
+  SELECT snapshot_hash, 'symbol' AS kind, file, name AS item, state, confidence, churn_count, instability_score FROM current_symbols
+  UNION ALL SELECT DISTINCT lower(snapshot_hash), 'todo', {sql.path('file')}, line::VARCHAR, NULL, NULL::DOUBLE, NULL::INT, NULL::DOUBLE FROM todos),
+v AS (SELECT s.project, s.ord, s.next_hash IS NULL AS is_last, r.* EXCLUDE (snapshot_hash) FROM rows_ r JOIN snaps s USING (snapshot_hash)),
+last_ AS (SELECT * FROM v WHERE is_last), first_ AS (SELECT * FROM v WHERE ord = 1)"""
+
+
+@_query(
+    f"""WITH {_WHOLE} SELECT project, kind, change, count(*) AS n FROM (
+      SELECT coalesce(a.project, b.project) AS project, coalesce(a.kind, b.kind) AS kind,
+        CASE WHEN a.project IS NULL THEN 'added' WHEN b.project IS NULL THEN 'removed'
+          WHEN (a.state, a.confidence, a.churn_count, a.instability_score) IS DISTINCT FROM (b.state, b.confidence, b.churn_count, b.instability_score) THEN 'changed' END AS change
+      FROM first_ a FULL JOIN last_ b ON a.project = b.project AND a.kind = b.kind AND a.file = b.file AND a.item = b.item) WHERE change IS NOT NULL GROUP BY ALL"""
+)
+def snapshot_diff_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Changes of symbols, by all four values, and of todos from each project's first snapshot to its last."""
+    return _entries_first_to_last(spark, root)[1].groupBy("project", "kind", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _entries_first_to_last(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    v = _all_entries(spark, root).select("project", "ord", "n", *_ENTRY, *_VALUES)
+    first, last = (v.filter(f).drop("ord", "n") for f in ("ord = 0", "ord = n - 1"))
+    return first, snapshots.diff(first, last, ["project", *_ENTRY], _VALUES)
+
+
+@_query(f"WITH {_WHOLE} SELECT project, kind, file, item, state, confidence, churn_count, instability_score FROM last_")
+def snapshot_apply_whole(spark: SparkSession, root: str) -> DataFrame:
+    """The first snapshot's symbols and todos with the changes applied are the last one's."""
+    first, delta = _entries_first_to_last(spark, root)
+    return snapshots.apply(first, delta, ["project", *_ENTRY])
+
+
+@_query(f"WITH {_WHOLE} SELECT project, kind, file, item, state, confidence, churn_count, instability_score FROM last_")
+def delta_chain_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Symbols and todos of each project's last snapshot, rebuilt from the first and all changes between."""
+    s, t = (snapshots.chain(snapshots.deltas(x, ["project", *_ENTRY], v), ["project", *_ENTRY]) for x, v in zip(_entries(spark, root), (_VALUES, [])))
+    return s.unionByName(t.select("project", *_ENTRY), allowMissingColumns=True)
+
+
 _SEQ = f"""{sql.SNAPSHOTS}, q AS (SELECT project, snapshot_hash AS hash, moment AS at_, ord - 1 AS seq, prev_hash, (ord - 1) % 3 = 0 AS is_checkpoint FROM snaps),
 r AS (SELECT *, sum(is_checkpoint::INT) OVER (PARTITION BY project ORDER BY seq) AS run, sum(is_checkpoint::INT) OVER (PARTITION BY project) AS last_ FROM q)"""
 
@@ -775,12 +840,12 @@ def snapshot_list(spark: SparkSession, root: str) -> DataFrame:
 
 @_query()
 def fingerprint(spark: SparkSession, root: str) -> DataFrame:
-    return snapshots.fingerprint(_versions(spark, root), ["project", "ord"], ["file", "name", "state", "churn_count"])
+    return snapshots.fingerprint(_all_entries(spark, root), ["project", "ord"], [*_ENTRY, *_VALUES, "text", "type", "resolved"])
 
 
 @_query()
 def content_hash(spark: SparkSession, root: str) -> DataFrame:
-    return snapshots.content_hash(_versions(spark, root), ["project", "ord"], ["file", "name", "state", "churn_count"])
+    return snapshots.content_hash(_all_entries(spark, root), ["project", "ord"], [*_ENTRY, *_VALUES, "text", "type", "resolved"])
 
 
 # ---- format ----

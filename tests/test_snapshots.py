@@ -73,3 +73,14 @@ def test_cache(spark):
     listing = spark.createDataFrame([("a", 1), ("b", 5), ("z", 1)], "file STRING, mtime INT")
     manifest = spark.createDataFrame([("a", 1), ("b", 2)], "file STRING, mtime INT")
     assert rows(snapshots.rescan(listing, manifest, ["file"])) == [("a", 1, "reuse"), ("b", 5, "extract"), ("z", 1, "new")]
+
+
+def test_deltas_same_as_diffs(spark):
+    rng = random.Random(5)
+    states = [{f"f{k}": rng.choice(["x", "y", None]) for k in range(6) if rng.random() < 0.6} for _ in range(5)]
+    df = spark.createDataFrame([(f, k, 5, v) for k, s in enumerate(states) for f, v in s.items()], "file STRING, ord INT, n INT, state STRING")
+    expected = []
+    for k, (a, b) in enumerate(zip([{}, *states], states)):
+        expected += [(f, k, "added" if f not in a else "removed" if f not in b else "changed") for f in {*a, *b} if f not in a or f not in b or a[f] != b[f]]
+    got = [(r.file, r.seq, r.change) for r in snapshots.deltas(df, ["file"], ["state"]).collect()]
+    assert sorted(got) == sorted(expected)
