@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolarium.functions.text import terms
 from symbolarium.session import stored
 
+#: Texts of a group that one task compares with as many others, and terms that it does at once.
+BLOCK, TERMS = 2500, 1024
+
 
 def weights(texts: DataFrame, group: str, idf: bool = True) -> DataFrame:
     """``group, id, term, df, w``: unit vectors of texts; ``texts`` has ``group, id, text``.
@@ -49,6 +54,73 @@ def related(texts: DataFrame, group: str, threshold: float, top: int, idf: bool
     return both.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r")
 
 
+def related_by_blocks(texts: DataFrame, group: str, threshold: float, top: int, block: int = BLOCK) -> DataFrame:
+    """The same as :func:`related`, for low thresholds, where nearly every pair shares a term of both prefixes.
+
+    A group's texts are cut into blocks, and each pair of blocks is one product of matrices in a task: no pair of
+    texts is shuffled but the ``top`` of each text and block. Terms of a single text only count in its norm.
+    """
+    v = weights(texts, group).filter("df > 1")
+    one = stored(v.groupBy(group, "id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")))
+    number = one.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__n"))
+    own = F.pmod(F.xxhash64("id"), F.col("__n")).cast("int")
+    sent = one.join(number, group).withColumn("__k", own).withColumn("__m", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    sent = sent.select(group, F.least("__k", "__m").alias("i"), F.greatest("__k", "__m").alias("j"), (F.col("__k") <= F.col("__m")).alias("first"), "id", "terms", "ws")
+
+    def compared(pair: pa.Table) -> pa.Table:
+        return _most_similar(pair, group, threshold, top)
+
+    found = sent.groupBy(group, "i", "j").applyInArrow(compared, f"{group} string, id string, other string, similarity double")
+    rank = F.row_number().over(Window.partitionBy(group, "id").orderBy(F.round("similarity", 9).desc(), "other"))
+    return found.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r")
+
+
+def _most_similar(pair: pa.Table, group: str, threshold: float, top: int) -> pa.Table:
+    """For each text of two blocks the ``top`` of the other block; of a block with itself where there is only one."""
+    pair = pair.combine_chunks()
+    ids = np.array(pair["id"].to_pylist(), dtype=object)
+    order = np.argsort(ids)  # code points: Spark's order of strings
+    first = pair["first"].to_numpy()
+    terms, ws = pair["terms"].combine_chunks(), pair["ws"].combine_chunks().flatten().to_numpy()
+    codes = terms.flatten().dictionary_encode()
+    many, codes = len(codes.dictionary), codes.indices.to_numpy()
+    rows = np.repeat(np.arange(len(ids)), terms.value_lengths().to_numpy())
+    diagonal = bool(pair["i"][0].as_py() == pair["j"][0].as_py())
+    a = order[first[order]]
+    b = a if diagonal else order[~first[order]]
+    place_a, place_b = np.full(len(ids), -1), np.full(len(ids), -1)
+    place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
+    sims = np.zeros((len(a), len(b)))
+    by_code = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[by_code], np.arange(0, many + TERMS, TERMS))
+    for k in range(len(ends) - 1):
+        held = by_code[ends[k] : ends[k + 1]]
+        sides = []
+        for place, n in ((place_a, len(a)), (place_b, len(b))):
+            own = held[place[rows[held]] >= 0]
+            dense = np.zeros((n, TERMS))
+            dense[place[rows[own]], codes[own] - k * TERMS] = ws[own]
+            sides.append(dense)
+        sims += sides[0] @ sides[1].T
+    if diagonal:
+        np.fill_diagonal(sims, -1)
+    left, right, values = [], [], []
+    for x, y, s in ((a, b, sims), (b, a, sims.T))[: 1 if diagonal else 2]:
+        if not s.size:
+            continue
+        rounded = np.round(s, 9)
+        least = -np.partition(-rounded, top - 1, axis=1)[:, top - 1] if s.shape[1] > top else np.full(len(x), -np.inf)
+        r, c = np.nonzero((rounded >= least[:, None]) & (s >= threshold))
+        best = np.lexsort((c, -rounded[r, c], r))
+        r, c = r[best], c[best]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < top
+        r, c = r[kept], c[kept]
+        left.append(ids[x[r]]), right.append(ids[y[c]]), values.append(s[r, c])
+    id_, other, sim = (np.concatenate(z) if z else np.array([]) for z in (left, right, values))
+    name = pair[group][0].as_py()
+    return pa.table({group: pa.array([name] * len(id_), pa.string()), "id": pa.array(id_, pa.string()), "other": pa.array(other, pa.string()), "similarity": pa.array(sim, pa.float64())})
+
+
 def cosine(texts: DataFrame, group: str, threshold: float) -> DataFrame:
     """``group, id, other, similarity`` (``id < other``): plain cosine of term counts, all pairs at the threshold or more."""
     return related(texts, group, threshold, 2**31 - 1, idf=False).filter("id < other")

@@ -481,6 +481,16 @@ def tfidf_similar(spark: SparkSession, root: str) -> DataFrame:
     return similarity.related(candidates(spark, root), "project", 0.6, 6).withColumn("similarity", F.round("similarity", 6))
 
 
+@_query()
+def tfidf_related(spark: SparkSession, root: str) -> DataFrame:
+    """Related intents and todos at the reference's threshold of 0.2, the top 6 of each."""
+    return _related(spark, root).withColumn("similarity", F.round("similarity", 6))
+
+
+def _related(spark: SparkSession, root: str) -> DataFrame:
+    return similarity.related_by_blocks(candidates(spark, root), "project", 0.2, 6)
+
+
 # ---- co-change ----
 
 _COCHANGE = f"""{FACTS}, items AS (SELECT project, file, count(*) AS n FROM facts GROUP BY ALL),
@@ -531,7 +541,7 @@ def graph_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     calls = extract.calls(lines).select("project", F.col("path").alias("file"), F.col("line_no").alias("line"), "name", "confidence")
     defined = extract.definitions(lines).select("project", F.col("path").alias("file"), "name")
     imports = graph.resolved_imports(_imports(spark, root), files)
-    related = similarity.related(candidates(spark, root), "project", 0.6, 6)
+    related = _related(spark, root)
     pairs = cochange.hidden(cochange.co_changes(commit_files(spark, root)), imports.filter("dst IS NOT NULL").select("project", "src", "dst"))
     parts = [
         graph.symbol_part(s), graph.todo_part(s, todos(spark, root)), graph.intent_part(intents(spark, root), files), graph.import_part(imports),
