@@ -676,6 +676,25 @@ def shortest_path(spark: SparkSession, root: str) -> DataFrame:
     return graph.shortest_paths(e, ends, 3)
 
 
+def _some_nodes(nodes: DataFrame) -> DataFrame:
+    """``project, id``: about a fiftieth of all nodes, of every type: those whose hash is divisible by 50."""
+    return nodes.filter(F.pmod(F.xxhash64("project", "id"), F.lit(50)) == 0).select("project", "id")
+
+
+@_query()
+def trace_node_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Every relation in the whole graph of a fiftieth of its nodes."""
+    n, e = graph_parts(spark, root)
+    return graph.trace(stored(e), stored(_some_nodes(n)))
+
+
+@_query()
+def blast_radius_whole(spark: SparkSession, root: str) -> DataFrame:
+    """What a change of a fiftieth of the whole graph's nodes reaches within three steps."""
+    n, e = graph_parts(spark, root)
+    return graph.blast_radius(e, stored(_some_nodes(n)).withColumnRenamed("id", "seed"), depth=3).withColumn("score", F.round("score", 6))
+
+
 _IMPORTS = f"""{SYMBOLS}, files_ AS (SELECT DISTINCT project, file FROM symbols_),
 look AS (
   SELECT project, 'stem' AS kind, regexp_replace(file, '\\.[^./]*$', '') AS key, file FROM files_
