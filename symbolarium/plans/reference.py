@@ -695,6 +695,46 @@ def blast_radius_whole(spark: SparkSession, root: str) -> DataFrame:
     return graph.blast_radius(e, stored(_some_nodes(n)).withColumnRenamed("id", "seed"), depth=3).withColumn("score", F.round("score", 6))
 
 
+@_query()
+def graph_edges_whole(spark: SparkSession, root: str) -> DataFrame:
+    return graph_parts(spark, root)[1].select("project", "type", "src", "dst", "weight", "occurrences")
+
+
+@_query()
+def graph_nodes_whole(spark: SparkSession, root: str) -> DataFrame:
+    return graph_parts(spark, root)[0].select("project", "id", "type")
+
+
+@_query()
+def node_degree_whole(spark: SparkSession, root: str) -> DataFrame:
+    return graph.degrees(graph_parts(spark, root)[1])
+
+
+@_query()
+def shortest_path_whole(spark: SparkSession, root: str) -> DataFrame:
+    """In the whole graph, from the intent to the symbol of the least hash in each project."""
+    n, e = graph_parts(spark, root)
+    least = [F.min_by(F.when(F.col("type") == t, F.col("id")), F.when(F.col("type") == t, F.xxhash64("id"))).alias(c) for t, c in (("intent", "src"), ("symbol", "dst"))]
+    return graph.shortest_paths(e, n.groupBy("project").agg(*least).filter("src IS NOT NULL AND dst IS NOT NULL"))
+
+
+@_query()
+def exported_edges_whole(spark: SparkSession, root: str) -> DataFrame:
+    return graph.exported_edges(graph_parts(spark, root)[1])
+
+
+@_query()
+def exported_nodes_whole(spark: SparkSession, root: str) -> DataFrame:
+    out = graph.exported_nodes(*graph_parts(spark, root))
+    return out.select("project", "id", "type", "degree", F.round(graph.node_size(F.col("degree")), 6).alias("size"))
+
+
+@_query()
+def visible_links_whole(spark: SparkSession, root: str) -> DataFrame:
+    n, e = graph_parts(spark, root)
+    return graph.visible_links(n.filter("type IN ('file', 'todo')"), e).select("project", "type", "src", "dst")
+
+
 _IMPORTS = f"""{SYMBOLS}, files_ AS (SELECT DISTINCT project, file FROM symbols_),
 look AS (
   SELECT project, 'stem' AS kind, regexp_replace(file, '\\.[^./]*$', '') AS key, file FROM files_

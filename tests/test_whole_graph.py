@@ -74,3 +74,29 @@ def test_trace_whole(spark, root, whole):
     got = reference.trace_node_whole(spark, root).collect()
     assert {(r.id, r.type, r.src, r.dst) for r in got} <= {(i, r.type, r.src, r.dst) for r in whole[1] for i in (r.src, r.dst) if i in ids}
     assert len(got) == graph.trace(edges, spark.createDataFrame([("p", i) for i in ids], "project STRING, id STRING")).count()
+
+
+def test_edges_nodes_degrees_whole(spark, root, whole):
+    nodes, edges = whole
+    assert {(r.type, r.src, r.dst) for r in reference.graph_edges_whole(spark, root).collect()} == {(r.type, r.src, r.dst) for r in edges}
+    assert {(r.id, r.type) for r in reference.graph_nodes_whole(spark, root).collect()} == {(r.id, r.type) for r in nodes}
+    degree = Counter(i for r in edges for i in (r.src, r.dst))
+    assert {r.id: r.degree for r in reference.node_degree_whole(spark, root).collect()} == degree
+    assert {r.id: r.degree for r in reference.exported_nodes_whole(spark, root).collect()} == {r.id: degree[r.id] for r in nodes}
+    assert {r.id for r in reference.exported_edges_whole(spark, root).collect()} == {f"{r.type}|{r.src}|{r.dst}" for r in edges}
+    kept = {r.id for r in nodes if r.type in ("file", "todo")}
+    links = {(r.type, r.src, r.dst) for r in reference.visible_links_whole(spark, root).collect()}
+    assert links == {(r.type, r.src, r.dst) for r in edges if r.src in kept and r.dst in kept}
+    assert {t for t, *_ in links} >= {"IMPORTS", "CO_CHANGES_WITH"}
+
+
+def test_shortest_path_whole(spark, root, whole):
+    steps = {}
+    for r in whole[1]:
+        steps.setdefault(r.src, set()).add(r.dst)
+    for r in reference.shortest_path_whole(spark, root).collect():
+        level, far = {r.src}, 0
+        while r.dst not in level:
+            level, far = {d for s in level for d in steps.get(s, ())}, far + 1
+        assert r.src.startswith("intent:") and len(r.path) == far + 1
+        assert all(b in steps[a] for a, b in zip(r.path, r.path[1:]))
