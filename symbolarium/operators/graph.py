@@ -6,6 +6,8 @@ Ids are typed strings such as ``file:a/b.go`` and are unique within a project.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -324,8 +326,8 @@ def blast_radius(edge_rows: DataFrame, seeds: DataFrame, depth: int = 3) -> Data
     return total.agg(F.sum("part").alias("score"), F.min("depth").alias("depth"))
 
 
-def shortest_paths(edge_rows: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
-    """``project, src, dst, path ARRAY<STRING>``: a shortest path along edges for each pair, the least of equally long ones; none within ``most`` steps: no row.
+def shortest_paths(edge_rows: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """``project, src, dst, path ARRAY<STRING>``: a shortest path along edges for each pair, the least of equally long ones; none, or none within ``most`` steps where given: no row.
 
     The frontier holds one row for each pair and node reached first on that level, with the least
     path to it, so that it never exceeds the number of nodes a pair can reach.
@@ -336,7 +338,7 @@ def shortest_paths(edge_rows: DataFrame, pairs: DataFrame, most: int = 6) -> Dat
     frontier = pairs.select("project", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("src").alias("at"), F.array("src").alias("path"))
     seen, found = frontier, frontier.filter("a = b").select(*key, "path")
     frontier = frontier.filter("a <> b")
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         ahead = frontier.join(steps, ["project", "at"]).select(*key, F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         new = ahead.join(seen.select(*key, "at"), [*key, "at"], "left_anti").groupBy(*key, "at").agg(F.min("path").alias("path")).checkpoint()
         if new.isEmpty():
