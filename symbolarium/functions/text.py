@@ -74,10 +74,10 @@ def escape(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Reverse of :func:`escape` in one pass: an escaped backslash is set aside before the others are read."""
-    held = F.replace(c, F.lit("\\\\"), F.lit("\u0001"))
-    plain = F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\\|"), F.lit("|"))
-    return F.replace(plain, F.lit("\u0001"), F.lit("\\"))
+    """Reverse of :func:`escape` in one pass over pairs of a backslash and what follows it; other pairs stay."""
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)(\\.?|[^\\]+)"), F.lit(1))
+    plain = F.transform(tokens, lambda t: F.when(t == "\\n", "\n").when(t == "\\|", "|").when(t == "\\\\", "\\").otherwise(t))
+    return F.array_join(plain, "")
 
 
 def one_line(message: Column, most: int | None = None) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from symbolarium.functions.text import escape, unescape
 from symbolarium.operators.reports import EXPORT_ORDER
 
-#: Splits a line at bars that no odd number of backslashes precedes.
-_BAR = r"(?<=(?<!\\)(?:\\\\){0,50})\|"
+#: A backslash with what follows it, a bar, or a run without either.
+_TOKEN = r"(?s)(\\.?|\||[^\\|]+)"
 
 
 def record(*columns):
@@ -19,7 +19,10 @@ def record(*columns):
 
 def fields(line):
     """Trimmed, unescaped fields of a record, as an array."""
-    return F.transform(F.split(line, _BAR, -1), lambda x: unescape(F.trim(x)))
+    # bars between fields are marked by U+0001 and b, and U+0001 itself by U+0001 and a, so that any text can be told apart
+    marked = F.transform(F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(1)), lambda t: F.when(t == "|", "\u0001b").otherwise(F.replace(t, F.lit("\u0001"), F.lit("\u0001a"))))
+    parts = F.split(F.array_join(marked, ""), "\u0001b", -1)
+    return F.transform(parts, lambda x: unescape(F.replace(F.trim(x), F.lit("\u0001a"), F.lit("\u0001"))))
 
 
 def parsed(lines: DataFrame, columns: list[str], header: list[str] | None = None, required: list[str] = ()) -> DataFrame:
