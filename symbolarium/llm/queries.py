@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symbolarium.functions import normalise as N
 from symbolarium.functions.sizing import attach
 from symbolarium.llm import encoding, packing, pairs, quantiles, splitting, topn
-from symbolarium.operators.current import latest
+from symbolarium.operators.current import latest, snapshots
 from symbolarium.plans import sql
 from symbolarium.session import checkpoint_dir
 from symbolarium.sources import table
@@ -115,6 +115,26 @@ def p1_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return found.select("language", "metric", "n", "q", ((F.col("low") + F.col("high")) / 2).alias("value"))
 
 
+def _percentiles_by(spark: SparkSession, root: str, by: str) -> DataFrame:
+    """Percentiles by ``project`` or ``day`` (of the snapshot), language and metric, from the merged sketches of single snapshots."""
+    keys, to = ["project", "snapshot", "language", "metric"], [by, "language", "metric"]
+    values = _metrics(table(spark, root, "symbols")).withColumn("snapshot", F.xxhash64("snapshot_hash"))
+    sketches = quantiles.build(quantiles.frequencies(values, keys, F.col("value")), keys)
+    if by == "day":
+        days = snapshots(table(spark, root, "project_states")).select(F.xxhash64("snapshot_hash").alias("snapshot"), F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd").alias("day"))
+        sketches = attach(sketches, days, ["snapshot"])
+    found = quantiles.quantiles(quantiles.merge(sketches, to), to, [0.25, 0.5, 0.75, 0.9, 0.99])
+    return found.select(*to, "n", "q", ((F.col("low") + F.col("high")) / 2).alias("value"))
+
+
+def p1_percentiles_project(spark: SparkSession, root: str) -> DataFrame:
+    return _percentiles_by(spark, root, "project")
+
+
+def p1_percentiles_day(spark: SparkSession, root: str) -> DataFrame:
+    return _percentiles_by(spark, root, "day")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     files = _commit_files(spark, root)
     found = pairs.together(files, min_together=4, min_jaccard=0.3)
@@ -226,6 +246,8 @@ FROM current_symbols WHERE {_VALID} QUALIFY place <= 5"""
 QUERIES = {
     "p1_found": p1_found,
     "p1_percentiles": p1_percentiles,
+    "p1_percentiles_project": p1_percentiles_project,
+    "p1_percentiles_day": p1_percentiles_day,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,
