@@ -41,6 +41,7 @@ def p5_durations(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+#: One pass over each key's snapshots in order: a gap before a row is an addition, one behind it a removal.
 P2_SQL = f"""
 WITH {sql.CURRENT}, {sql.SNAPSHOTS},
 rows_ AS (
@@ -49,17 +50,16 @@ rows_ AS (
   UNION ALL
   SELECT DISTINCT lower(snapshot_hash), 'todo', {sql.path('file')}, line::VARCHAR, NULL, NULL::DOUBLE, NULL::INT, NULL::DOUBLE
   FROM todos),
-later AS (SELECT s.snapshot_hash AS h, r.* EXCLUDE (snapshot_hash) FROM rows_ r JOIN snaps s USING (snapshot_hash) WHERE s.prev_hash IS NOT NULL),
-earlier AS (SELECT s.next_hash AS h, r.* EXCLUDE (snapshot_hash) FROM rows_ r JOIN snaps s USING (snapshot_hash) WHERE s.next_hash IS NOT NULL)
-SELECT * FROM (
-  SELECT coalesce(l.h, e.h) AS snapshot_hash, coalesce(l.kind, e.kind) AS kind, coalesce(l.file, e.file) AS file,
-         coalesce(l.item, e.item) AS item,
-         CASE WHEN e.h IS NULL THEN 'added' WHEN l.h IS NULL THEN 'removed'
-              WHEN l.state IS DISTINCT FROM e.state OR l.confidence IS DISTINCT FROM e.confidence
-                OR l.churn_count IS DISTINCT FROM e.churn_count OR l.instability_score IS DISTINCT FROM e.instability_score
-              THEN 'changed' END AS change
-  FROM later l FULL JOIN earlier e ON l.h = e.h AND l.kind = e.kind AND l.file = e.file AND l.item = e.item)
-WHERE change IS NOT NULL"""
+placed AS (SELECT s.project, s.ord, s.prev_hash, s.next_hash, r.* FROM rows_ r JOIN snaps s USING (snapshot_hash)),
+met AS (
+  SELECT snapshot_hash, next_hash, prev_hash, kind, file, item, lag(ord) OVER k AS before, ord, lead(ord) OVER k AS behind,
+         state IS DISTINCT FROM lag(state) OVER k OR confidence IS DISTINCT FROM lag(confidence) OVER k
+           OR churn_count IS DISTINCT FROM lag(churn_count) OVER k OR instability_score IS DISTINCT FROM lag(instability_score) OVER k AS differs
+  FROM placed WINDOW k AS (PARTITION BY project, kind, file, item ORDER BY ord))
+SELECT snapshot_hash, kind, file, item, CASE WHEN before IS DISTINCT FROM ord - 1 THEN 'added' ELSE 'changed' END AS change
+FROM met WHERE prev_hash IS NOT NULL AND (before IS DISTINCT FROM ord - 1 OR differs)
+UNION ALL
+SELECT next_hash, kind, file, item, 'removed' FROM met WHERE next_hash IS NOT NULL AND behind IS DISTINCT FROM ord + 1"""
 
 P5_SQL = f"""
 WITH {sql.CURRENT}, {sql.SNAPSHOTS},

@@ -89,15 +89,31 @@ def test_streams(spark, tmp_path):
         assert q.exception() is None
 
 
-def test_git(spark):
-    from pathlib import Path
+def test_git(spark, tmp_path):
+    import subprocess
 
     from symbolarium.sources import git
 
-    root = str(Path(__file__).resolve().parent.parent)
-    commits, files = git.log(spark, root, 3)
-    assert 0 < commits.count() <= 3 and files.columns == ["hash", "file"] and git.head(spark, root).count() == 1
-    assert git.head(spark, "/proc").count() == 0
+    root = tmp_path / "work"
+    root.mkdir()
+    me = ["-c", "user.name=me", "-c", "user.email=me@here", "-c", "commit.gpgsign=false"]
+
+    def run(*args):
+        subprocess.run(["git", "-C", str(root), *me, *args], check=True, capture_output=True)
+
+    run("init", "-q", "-b", "trunk")
+    for k, name in enumerate("abbc"):
+        (root / f"{name}.txt").write_text(str(k))
+        run("add", "-A")
+        run("commit", "-q", "-m", f"change | {k}")
+    commits, files = git.log(spark, str(root), 3)
+    assert sorted(r.message for r in commits.collect()) == ["change | 1", "change | 2", "change | 3"]
+    assert sorted(r.file for r in files.collect()) == ["b.txt", "b.txt", "c.txt"]
+    at = git.head(spark, str(root)).head()
+    assert (at.branch, at.dirty, at.user, len(at.hash)) == ("trunk", False, "me", 40)
+    (root / "a.txt").write_text("other")
+    assert git.head(spark, str(root)).head().dirty
+    assert git.head(spark, str(tmp_path / "nowhere")).count() == 0
 
 
 def test_intents(spark):
