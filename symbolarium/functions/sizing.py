@@ -1,19 +1,59 @@
-"""Joins whose small side is broadcast only after its size was measured."""
+"""Sizes that Spark knows without a job: numbers of partitions, and joins whose small side is broadcast only behind its size in bytes."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows is broadcast; the sides used have rows of about 100 bytes.
-BROADCAST_ROWS = 200_000
+from symbolarium.session import stored
+
+#: A side is broadcast up to this size of its files; in memory it takes some times as much.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of input (compressed columns, five to ten times as much in memory) for each partition, and the number of partitions beyond which both their number and their size grow.
+PARTITION_BYTES, MANY = 4 << 20, 2000
+#: Sizes above this are Spark's way to say that it doesn't know.
+_UNKNOWN = 1 << 60
+#: What may lie over a scan whose files tell its size.
+_PLAIN = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def _leaves(plan) -> list:
+    found = plan.collectLeaves()
+    return [found.apply(k) for k in range(found.size())]
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files below ``df``, as their footers and listings tell; inputs of unknown size count as nothing."""
+    sizes = [int(str(x.stats().sizeInBytes())) for x in _leaves(df._jdf.queryExecution().optimizedPlan())]
+    return sum(s for s in sizes if s < _UNKNOWN)
+
+
+def parts(df: DataFrame, unit: int = PARTITION_BYTES) -> int:
+    """Number of partitions for a shuffle of ``df``: one for each ``unit`` bytes of input, at least the session's.
+
+    Beyond 2,000 of them, number and size both grow with the square root of the input (100 TB: 224,000
+    partitions of 0.45 GB), as a shuffle's blocks are the product of its two sides.
+    """
+    n = input_bytes(df) / unit
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n if n <= MANY else math.sqrt(n * MANY)))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        if plan.nodeName() not in _PLAIN:
+            return False
+        if plan.children().isEmpty():
+            return True
+        plan = plan.children().head()
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``small`` to ``big``: broadcast if it has at most ``limit`` rows, else left to the planner.
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``small`` to ``big``: broadcast if its files have at most ``limit`` bytes, else left to the planner.
 
-    The count stops after ``limit + 1`` rows, so measuring a large side costs no full pass.
+    A side that is more than a scan is stored first: it is computed once, and its size is known.
     """
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    held = small if _is_scan(small) else stored(small)
+    return big.join(F.broadcast(held) if input_bytes(held) <= limit else held, on, how)

@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symbolarium.functions.blocks import BLOCK, block_pairs
+from symbolarium.session import stored
 
-def co_changes(commit_files: DataFrame, min_commits: int = 3, min_jaccard: float = 0.3) -> DataFrame:
+
+def co_changes(commit_files: DataFrame, min_commits: int = 3, min_jaccard: float = 0.3, block: int = BLOCK) -> DataFrame:
     """``project, file_a, file_b, co_occurrences, commits_a, commits_b, jaccard`` for pairs ``file_a < file_b``.
 
-    ``commit_files`` has ``project, hash, file``. Repeated rows count once. Files of fewer than
-    ``min_commits`` commits can't be in a pair and are dropped before the self-join, pairs whose
-    numbers of commits rule the index out before the count. Spark splits the rows of a huge commit
-    over tasks by itself (skew join); rows with nulls are left out.
+    ``commit_files`` has ``project, hash, file``. Repeated rows count once; rows with nulls are left
+    out. Files of fewer than ``min_commits`` commits can't be in a pair and are dropped before pairs are
+    made, pairs whose numbers of commits rule the index out before the count. Pairs are made by blocks, so
+    that a commit of very many files is spread over tasks.
     """
-    facts = commit_files.select("project", "hash", "file").dropna().distinct()
+    facts = stored(commit_files.select("project", "hash", "file").dropna().distinct())
     n = facts.groupBy("project", "file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_commits)
-    used = facts.join(n, ["project", "file"])
-    a = used.select("project", "hash", F.col("file").alias("file_a"), F.col("n").alias("commits_a"))
-    b = used.select("project", "hash", F.col("file").alias("file_b"), F.col("n").alias("commits_b"))
-    pairs = a.join(b, ["project", "hash"]).filter("file_a < file_b").filter(F.least("commits_a", "commits_b") >= min_jaccard * F.greatest("commits_a", "commits_b"))
+    used = stored(facts.join(n, ["project", "file"]).select("project", "hash", F.struct(F.col("file").alias("f"), "n").alias("item")))
+    fits = F.least("a.n", "b.n") >= min_jaccard * F.greatest("a.n", "b.n")
+    pairs = block_pairs(used, ["project"], ["project", "hash"], F.col("item"), block=block).filter("NOT same OR a.f < b.f").filter(fits)
+    ends = {name: pick("a.f", "b.f") for name, pick in (("file_a", F.least), ("file_b", F.greatest))}
+    first = F.col("a.f") < F.col("b.f")
+    placed = pairs.select(
+        "project", *[c.alias(k) for k, c in ends.items()], F.when(first, F.col("a.n")).otherwise(F.col("b.n")).alias("commits_a"), F.when(first, F.col("b.n")).otherwise(F.col("a.n")).alias("commits_b")
+    )
     c = F.col("co_occurrences")
-    counted = pairs.groupBy("project", "file_a", "file_b", "commits_a", "commits_b").agg(F.count(F.lit(1)).alias("co_occurrences"))
+    counted = placed.groupBy("project", "file_a", "file_b", "commits_a", "commits_b").agg(F.count(F.lit(1)).alias("co_occurrences"))
     scored = counted.withColumn("jaccard", c / (F.col("commits_a") + F.col("commits_b") - c))
     return scored.filter((c >= min_commits) & (F.col("jaccard") >= min_jaccard))
 

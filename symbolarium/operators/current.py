@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from symbolarium.functions import normalise as N
 
 
-def latest(df: DataFrame, keys: list[str], by: str = "delivered_at") -> DataFrame:
+def latest(df: DataFrame, keys: list[str], by: str = "delivered_at", parts: int | None = None) -> DataFrame:
     """One row for each distinct ``keys`` (nulls are equal), the one with the greatest ``by``.
 
     Null ``by`` is older than any time. Written with ``lead`` and not ``row_number() = 1``: the
     latter makes Spark sort before the shuffle as well, which pays only where groups are large.
     A DataFrame already partitioned by some of ``keys`` isn't shuffled again. Empty input gives
-    an empty result; all columns of ``df`` are kept.
+    an empty result; all columns of ``df`` are kept. ``parts``: the number of partitions, where ``df`` must be moved.
     """
+    df = df.repartition(parts, *keys) if parts else df
     w = Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_first())
     return df.withColumn("__next", F.lead(F.lit(1)).over(w)).filter("__next IS NULL").drop("__next")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolarium.functions import normalise as N
+from symbolarium.functions.sizing import attach
 
 #: Every so many deltas a full checkpoint is written.
 CHECKPOINT_EVERY = 10
@@ -68,19 +69,16 @@ def deltas(rows: DataFrame, keys: list[str], compared: list[str], seq: str = "or
 
 
 def chain_of(headers: DataFrame, target: str) -> DataFrame:
-    """``hash, seq``: the objects that make up ``target``, from its checkpoint on; a chain is at most ``CHECKPOINT_EVERY`` long.
+    """``hash, seq``: the objects that make up ``target``, from its checkpoint (0) on; none for an unknown hash.
 
-    ``headers`` has ``hash, prev_hash, is_checkpoint``. The walk goes back one link a join, on a
-    frontier of one row; the number of steps is bounded by the checkpoint rule.
+    ``headers`` has ``project, hash, seq, is_checkpoint``, the result of :func:`sequence`. Objects are
+    numbered within their project, so that the chain is a range of numbers: from the last checkpoint up
+    to the target. One pass over the target's project instead of a walk from link to link.
     """
-    links = headers.select("hash", "prev_hash", "is_checkpoint")
-    step = links.filter(F.col("hash") == target).withColumn("back", F.lit(0))
-    found = step
-    for k in range(1, CHECKPOINT_EVERY + 1):
-        ahead = step.filter("NOT is_checkpoint").select(F.col("prev_hash").alias("hash"))
-        step = links.join(F.broadcast(ahead), "hash").withColumn("back", F.lit(k))  # a row at most
-        found = found.unionByName(step)
-    return found.select("hash", (F.max("back").over(Window.partitionBy(F.lit(0))) - F.col("back")).alias("seq"))
+    own = headers.filter(F.col("hash") == target).select("project", F.col("seq").alias("__to"))
+    before = attach(headers, own, ["project"]).filter("seq <= __to")
+    from_ = before.filter("is_checkpoint").groupBy("project").agg(F.max("seq").alias("__from"))
+    return attach(before, from_, ["project"]).filter("seq >= __from").select("hash", (F.col("seq") - F.col("__from")).alias("seq"))
 
 
 def sequence(headers: DataFrame, every: int = CHECKPOINT_EVERY) -> DataFrame:

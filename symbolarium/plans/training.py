@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from symbolarium.operators import changes, current, history
 from symbolarium.plans import sql
+from symbolarium.session import stored
 from symbolarium.sources import table
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    snaps = current.snapshots(table(spark, root, "project_states"))
+    snaps = stored(current.snapshots(table(spark, root, "project_states")))
     rows = changes.symbol_and_todo_rows(table(spark, root, "symbols"), table(spark, root, "todos"))
     return changes.snapshot_changes(rows, snaps)
 
@@ -22,7 +23,7 @@ def p2_summary(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    snaps = current.snapshots(table(spark, root, "project_states"))
+    snaps = stored(current.snapshots(table(spark, root, "project_states")))
     symbols = history.symbol_versions(table(spark, root, "symbols"), snaps)
     return symbols.unionByName(history.intent_versions(table(spark, root, "intent_updates")))
 

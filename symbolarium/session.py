@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_stored: dict[str, list[str]] = {}
 
 
 def _local_folder() -> str:
@@ -58,24 +59,43 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a local folder only where none is set, as in tests on one machine."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a folder of this machine only where none is set and the master is local.
+
+    On a cluster without that setting executors would write to their own disks, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or _local_folder())
+    return sc.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, deleted when the session ends.
+    """``df`` as a Parquet table in the shared checkpoint folder.
 
     For a result that is read several times: it is computed once, survives the loss of executors,
-    and Spark knows its size when it chooses how to join it.
+    and Spark knows its size when it chooses how to join it. The table stays until :func:`release`
+    is called or the session ends.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, fs = _file(spark, path)
+    fs.deleteOnExit(at)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`stored` has made so far; results that read them can't be read after that."""
+    for path in _stored.pop(spark.sparkContext.applicationId, []):
+        at, fs = _file(spark, path)
+        fs.delete(at, True)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
