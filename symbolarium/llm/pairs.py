@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symbolarium.functions.blocks import BLOCK, block_pairs
 from symbolarium.functions.sizing import attach
 from symbolarium.session import stored
 
-#: A basket of more items is split into chunks of about this many.
-BLOCK = 128
-
 
 def together(
     df: DataFrame,
@@ -32,33 +32,27 @@ def together(
 
     A basket above ``block`` items is split into chunks by a hash of the item; each pair of its
     chunks is a row of its own, so that the products of a huge basket are spread over all tasks.
-    Items are 64-bit hashes within a group until the pairs are counted.
+    Groups, baskets and items are 64-bit hashes until the pairs are counted. Items or groups with equal
+    hashes are looked for before that, and other hashes taken if there are any; baskets carry a second hash,
+    and two that differ in it alone are an error, so that none are ever merged.
+
+    Facts, items and their numbers are stored as tables when this is called, as each is read several times.
     """
-    keyed = [F.xxhash64("g").alias("gid"), F.xxhash64("g", "k").alias("bid"), F.xxhash64("i").alias("id")]
-    rows = stored(df.select(F.col(group).alias("g"), F.col(basket).alias("k"), F.col(item).alias("i")).dropna().distinct().select("g", "i", *keyed))
-    items = stored(rows.groupBy("g", "i", "gid", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_together))
+    facts = df.select(F.col(group).alias("g"), F.col(basket).alias("k"), F.col(item).alias("i")).dropna().distinct()
+    for seed in itertools.count():
+        salt = F.lit(seed)
+        keyed = [F.xxhash64(salt, "g").alias("gid"), F.xxhash64(salt, "g", "k").alias("bid"), F.xxhash64(salt, "i").alias("id"), F.hash(salt, "k", "g").alias("mark")]
+        rows = stored(facts.select("g", "i", *keyed))
+        items = stored(rows.groupBy("g", "i", "gid", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_together))
+        if items.groupBy("gid", "id").count().filter("count > 1").isEmpty():
+            break
     totals = rows.select("g", "gid", "bid").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n_all"))
 
     # Spark broadcasts the items only if their stored size is small, else it shuffles both sides
-    used = stored(rows.select("gid", "bid", "id").join(items.select("gid", "id", "n"), ["gid", "id"]).select("gid", "bid", F.struct("id", "n").alias("x")))
-    sizes = used.groupBy("gid", "bid").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.filter(F.col("size") > block).select("gid", "bid", F.ceil(F.col("size") / block).cast("int").alias("chunks"))
-    chunked = attach(used, large, ["gid", "bid"], "left").select(
-        "gid", "bid", "x", F.coalesce("chunks", F.lit(1)).alias("chunks"), F.expr("coalesce(CAST(pmod(xxhash64(x.id), chunks) AS INT), 0)").alias("chunk")
-    )
-    baskets = chunked.groupBy("gid", "bid", "chunks", "chunk").agg(F.collect_list("x").alias("xs"))
-
+    used = stored(rows.select("gid", "bid", "id", "mark").join(items.select("gid", "id", "n"), ["gid", "id"]).select("gid", "bid", "mark", F.struct("id", "n").alias("x")))
     fits = f"least(a.n, b.n) >= {float(min_jaccard)!r}D * greatest(a.n, b.n)"
-    ordinary = baskets.filter("chunks = 1 AND size(xs) > 1").select("gid", F.col("xs").alias("left"), F.col("xs").alias("right"), F.lit(True).alias("same"))
-    split = baskets.filter("chunks > 1")
-    key = ["gid", "bid", "low", "high"]
-    lower = split.select("gid", "bid", F.col("chunk").alias("low"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("high"), F.col("xs").alias("left"))
-    upper = split.select("gid", "bid", F.explode(F.sequence(F.lit(0), "chunk")).alias("low"), F.col("chunk").alias("high"), F.col("xs").alias("right"))
-    blocks = lower.join(upper, key).select("gid", "left", "right", (F.col("low") == F.col("high")).alias("same"))
     pairs = (
-        ordinary.unionByName(blocks)
-        .select("gid", "same", "right", F.explode("left").alias("a"))
-        .select("gid", "same", "a", F.explode("right").alias("b"))
+        block_pairs(used, ["gid"], ["gid", "bid"], F.col("x"), F.col("mark"), block)
         .filter(f"(NOT same OR a.id < b.id) AND {fits}")
         .select("gid", F.least("a.id", "b.id").alias("p"), F.greatest("a.id", "b.id").alias("q"), F.expr("CASE WHEN a.id < b.id THEN a.n ELSE b.n END").alias("n_p"), F.expr("CASE WHEN a.id < b.id THEN b.n ELSE a.n END").alias("n_q"))
     )

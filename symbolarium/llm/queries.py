@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symbolarium.functions import normalise as N
-from symbolarium.functions.sizing import attach
+from symbolarium.functions.sizing import attach, parts
 from symbolarium.llm import encoding, packing, pairs, quantiles, splitting, topn
 from symbolarium.operators.current import latest, snapshots
 from symbolarium.plans import sql
-from symbolarium.session import checkpoint_dir
+from symbolarium.session import checkpoint_dir, stored
 from symbolarium.sources import table
 
 #: A case of p1_found has at least this many values, and its 90th percentile above so many medians.
@@ -33,7 +33,7 @@ def _metrics(symbols: DataFrame) -> DataFrame:
     score, churn = F.col("instability_score"), F.col("churn_count")
     valid = (score > 0) & ~F.isnan(score) & (score < float("inf"))
     return (
-        latest(rows, ["snapshot_hash", "file", "name"])
+        latest(rows, ["snapshot_hash", "file", "name"], parts=parts(symbols))
         .select(
             "project",
             "snapshot_hash",
@@ -51,47 +51,49 @@ def _metrics(symbols: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    """Skewed metrics: candidates by the sketches' percentiles with the stated error, then an exact check.
+    """Skewed metrics, by percentiles of merged sketches with the stated error; what that leaves open is checked exactly.
 
-    The check finds the codes that hold the ranks from the codes' counts, and decides by the least
-    and greatest value of these codes; only where that leaves it open are values read again.
+    Sketches of what each task holds are merged into one for each case, as those of single snapshots
+    would be. Where both percentiles are far enough from the limit, by the stated rank error and the
+    rank that interpolation adds, they decide. The check of the others finds the codes that hold the
+    ranks from the codes' counts and decides by the least and greatest value of these codes; only
+    where that leaves it open are values read again.
     """
     checkpoint_dir(spark)
     symbols = table(spark, root, "symbols")
-    counted = quantiles.frequencies(_metrics(symbols).filter("project IS NOT NULL AND language IS NOT NULL"), _P1, F.col("value"), bounds=True).repartition(*_P1)
-    error = quantiles.RANK_ERROR
-    ends = quantiles.quantiles(quantiles.build(counted, _P1), _P1, [0.5 - error, 0.9 + error])
-    candidates = (
-        ends.filter(F.col("n") >= P1_LEAST)
-        .groupBy(*_P1, "n")
-        .agg(F.max(F.when(F.col("q") < 0.7, F.col("low"))).alias("middle"), F.max(F.when(F.col("q") > 0.7, F.col("high"))).alias("top"))
-        .filter(F.col("top") > P1_TIMES * F.col("middle"))
-        .select(*_P1, F.col("n").alias("total"))
-    )
+    counted = quantiles.frequencies(_metrics(symbols).filter("project IS NOT NULL AND language IS NOT NULL"), _P1, F.col("value"), bounds=True)
+    margin = quantiles.RANK_ERROR + 1 / P1_LEAST
+    sketches = quantiles.merge(quantiles.build(counted, _P1, partial=True), _P1).filter(F.col("n") >= P1_LEAST)
+    ends = quantiles.bounds(sketches, _P1, [0.5 - margin, 0.5 + margin, 0.9 - margin, 0.9 + margin])
+    low, high = F.col("low"), F.col("high")
+    decided = ends.withColumn("sure", low[2] > P1_TIMES * high[1]).filter(F.col("sure") | (high[3] > P1_TIMES * low[0])).select(*_P1, F.col("n").alias("total"), "sure")
     upto = F.sum("n").over(Window.partitionBy(*_P1).orderBy("code"))
-    # ranks as whole numbers, and what is left over in tenths
+    # ranks as whole numbers, and what is left over in tenths; sure cases keep the row of their first code, as rank -1
     ranks = "array((total - 1) DIV 2, total DIV 2, (9 * (total - 1)) DIV 10, least((9 * (total - 1)) DIV 10 + 1, total - 1))"
+    first = "filter(array(named_struct('r', -1L, 'k', -1)), x -> upto = n)"
     held = (
-        counted.withColumn("upto", upto)
-        .join(candidates, _P1)
-        .withColumn("r", F.expr(f"filter(transform({ranks}, (r, k) -> struct(r, k)), x -> x.r < upto AND x.r >= upto - n)"))
+        counted.repartition(*_P1)
+        .withColumn("upto", upto)
+        .join(decided, _P1)
+        .withColumn("r", F.expr(f"CASE WHEN sure THEN {first} ELSE filter(transform({ranks}, (r, k) -> struct(r, k)), x -> x.r < upto AND x.r >= upto - n) END"))
         .filter("size(r) > 0")
         .select(*_P1, "total", "code", "low", "high", (F.col("upto") - F.col("n")).alias("before"), F.explode("r").alias("x"))
         .select(*_P1, "total", "code", "low", "high", "before", F.col("x.r").alias("rank"), F.col("x.k").alias("k"))
         .checkpoint()
     )
-    bounds = held.groupBy(*_P1).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(4) for c in ("low", "high")])
+    near = held.filter("k >= 0")
+    ends = near.groupBy(*_P1).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(4) for c in ("low", "high")])
     least, most = _exceeds("low2", "low3", "high0", "high1"), _exceeds("high2", "high3", "low0", "low1")
-    sure = bounds.filter(least).select(*_P1)
-    open_ = bounds.filter(most & ~least).select(*_P1)
+    sure = held.filter("k < 0").select(*_P1).unionByName(ends.filter(least).select(*_P1))
+    open_ = ends.filter(most & ~least).select(*_P1)
     if open_.isEmpty():
         return sure
-    codes = held.join(open_, _P1).select(*_P1, "code", "before", "total").distinct()
+    codes = near.join(open_, _P1).select(*_P1, "code", "before", "total").distinct()
     projects = open_.select("project").distinct()
     values = _metrics(attach(symbols, projects, ["project"], "left_semi")).withColumn("code", quantiles.code(F.col("value")))
     within = Window.partitionBy(*_P1, "code").orderBy("value")
     placed = attach(values, codes, [*_P1, "code"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
-    wanted = held.join(open_, _P1).select(*_P1, "total", "code", "rank", "k")
+    wanted = near.join(open_, _P1).select(*_P1, "total", "code", "rank", "k")
     exact = attach(placed.select(*_P1, "code", "rank", "value"), wanted, [*_P1, "code", "rank"])
     resolved = exact.groupBy(*_P1).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k}") for k in range(4)])
     return sure.unionByName(resolved.filter(_exceeds("v2", "v3", "v0", "v1")).select(*_P1))
@@ -135,6 +137,17 @@ def p1_percentiles_day(spark: SparkSession, root: str) -> DataFrame:
     return _percentiles_by(spark, root, "day")
 
 
+def p1_percentiles_later(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of each language and metric without each project's first snapshot: its sketches are removed from those of all."""
+    keys, to = ["snapshot", "language", "metric"], ["language", "metric"]
+    values = _metrics(table(spark, root, "symbols")).withColumn("snapshot", F.xxhash64("snapshot_hash"))
+    kept = stored(quantiles.build(quantiles.frequencies(values, keys, F.col("value")), keys))
+    first = snapshots(table(spark, root, "project_states")).filter("ord = 0").select(F.xxhash64("snapshot_hash").alias("snapshot"))
+    gone = quantiles.negated(attach(kept, first, ["snapshot"], "left_semi"))
+    found = quantiles.quantiles(quantiles.merge(kept.unionByName(gone), to), to, [0.25, 0.5, 0.75, 0.9, 0.99])
+    return found.select(*to, "n", "q", ((F.col("low") + F.col("high")) / 2).alias("value"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     files = _commit_files(spark, root)
     found = pairs.together(files, min_together=4, min_jaccard=0.3)
@@ -164,11 +177,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _top(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "symbols").select(
-        N.hash_id("snapshot_hash").alias("snapshot_hash"), N.path("file").alias("file"), "name", "line", "instability_score", "delivered_at"
-    )
+    symbols = table(spark, root, "symbols")
+    rows = symbols.select(N.hash_id("snapshot_hash").alias("snapshot_hash"), N.path("file").alias("file"), "name", "line", "instability_score", "delivered_at")
+    placed = topn.spread(rows, ["snapshot_hash", "file"], F.col("name"), parts(symbols))
     score = F.col("instability_score")
-    valid = latest(rows, ["snapshot_hash", "file", "name"]).filter((score > 0) & ~F.isnan(score) & (score < float("inf")))
+    valid = latest(placed, ["__place", "snapshot_hash", "file", "name"]).filter((score > 0) & ~F.isnan(score) & (score < float("inf")))
     return topn.top_n(valid, ["snapshot_hash", "file"], score, F.col("line"), F.col("name"), 5)
 
 
@@ -196,7 +209,8 @@ def p6_roundtrip(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
-    return packing.pack(encoding.token_counts(table(spark, root, "documents")))
+    docs = table(spark, root, "documents")
+    return packing.pack(encoding.token_counts(docs), lanes=packing.lanes(docs))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -248,6 +262,7 @@ QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_percentiles_project": p1_percentiles_project,
     "p1_percentiles_day": p1_percentiles_day,
+    "p1_percentiles_later": p1_percentiles_later,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p4_found": p4_found,

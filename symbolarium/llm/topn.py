@@ -10,20 +10,37 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symbolarium.functions.sizing import parts
+
 #: Greater than any key.
 _END = (float("inf"),)
+#: Rows of a run whose keys are there at once.
+SLICE = 512
+#: Buckets for each partition of the input.
+BUCKETS = 4
 
 
 class _Run:
-    """A sorted run of one bucket: keys in order, and for each row where the next group begins."""
+    """A sorted run of one bucket. Keys are made of a slice of rows at a time, those that are skipped never."""
 
     def __init__(self, block: bytes, width: int):
-        t = pa.ipc.open_stream(block).read_all().combine_chunks()
-        self.keys = [*zip(*[c.to_pylist() for c in t.columns]), _END]
-        ends = np.append(np.flatnonzero(~_repeats(t, width))[1:], t.num_rows)
-        self.next_group = np.repeat(ends, np.diff(np.concatenate([[0], ends]))).tolist()
+        self.table = pa.ipc.open_stream(block).read_all().combine_chunks()
+        self.rows = self.table.num_rows
+        self.ends = np.append(np.flatnonzero(~_repeats(self.table, width))[1:], self.rows)
+        self.base, self.keys = 0, []
         self.at = 0
 
+    def key(self, at: int) -> tuple:
+        if at >= self.rows:
+            return _END
+        if not self.base <= at < self.base + len(self.keys):
+            self.base, self.keys = at, [*zip(*[c.to_pylist() for c in self.table.slice(at, SLICE).columns])]
+        return self.keys[at - self.base]
+
+    def next_group(self) -> int:
+        """Where the group of the current row ends."""
+        return int(self.ends[np.searchsorted(self.ends, self.at, "right")])
+
 
 def _repeats(t: pa.RecordBatch | pa.Table, width: int) -> np.ndarray:
     """Whether each row is of the same group as the one before: equal in the first ``width`` columns."""
@@ -40,7 +57,7 @@ class LoserTree:
 
     def __init__(self, runs: list[_Run]):
         self.runs, self.k = runs, len(runs)
-        self.heads = [r.keys[0] for r in runs]
+        self.heads = [r.key(0) for r in runs]
         self.losers = [0] * self.k
         self.winner = self._play(1) if self.k > 1 else 0
 
@@ -58,7 +75,7 @@ class LoserTree:
         w, heads, losers = self.winner, self.heads, self.losers
         run = self.runs[w]
         run.at = at
-        heads[w] = run.keys[at]
+        heads[w] = run.key(at)
         node = (w + self.k) >> 1
         while node:
             other = losers[node]
@@ -78,7 +95,7 @@ class LoserTree:
                     yield head, place
                     self.move(run.at + 1)
                 else:
-                    self.move(run.next_group[run.at])
+                    self.move(run.next_group())
                 head = self.heads[self.winner]
 
 
@@ -169,6 +186,25 @@ def _names(width: int) -> list[str]:
     return ["h", "z", *[f"g{k}" for k in range(width - 2)], "s", "l", "no_item", "i"]
 
 
+def _hash(group: list[Column]) -> Column:
+    return F.xxhash64(*[c.cast("string") for c in group])
+
+
+def spread(df: DataFrame, group: list[str], item: Column, n: int) -> DataFrame:
+    """``df`` in about ``n`` partitions for :func:`top_n`, with a column ``__place``, its partition's number.
+
+    A partition holds a range of the groups' hashes, so that its run has blocks for few buckets, and of
+    each group the items of some hashes: a group is spread over about the root of ``n`` partitions.
+    """
+    salts = max(1, round(n**0.5))
+    ranges = -(-n // salts)
+    at = F.expr(f"CAST(shiftrightunsigned(__h, 32) * {ranges} DIV {1 << 32} AS INT)")
+    # with the sign bit turned over hashes are ordered as the buckets are
+    placed = df.withColumn("__h", _hash([F.col(c) for c in group]).bitwiseXOR(F.expr("shiftleft(1L, 63)")))
+    placed = placed.withColumn("__place", at * salts + F.pmod(F.xxhash64(item), F.lit(salts)).cast("int")).drop("__h")
+    return placed.repartitionById(ranges * salts, F.col("__place"))
+
+
 def top_n(df: DataFrame, group: list[str], score: Column, second: Column, item: Column, n: int, buckets: int | None = None) -> DataFrame:
     """``group..., item, score, second, place``: the ``n`` rows of each group with the highest score.
 
@@ -179,16 +215,17 @@ def top_n(df: DataFrame, group: list[str], score: Column, second: Column, item:
 
     Every partition of ``df`` becomes one sorted run, from which each group's first ``n`` rows are
     stored in blocks by bucket of the group's hash: a group of any size leaves each task as ``n``
-    rows. The blocks are shuffled by bucket and merged. ``buckets`` (default: 4 times the
-    session's shuffle partitions) are merged one at a time.
+    rows. The blocks go straight to the partition of their bucket's range and are merged, one
+    bucket at a time. ``buckets``: by default 4 for each partition that the bytes of the input ask
+    for (:func:`functions.sizing.parts`). :func:`spread` is how ``df`` is best partitioned.
     """
-    spark = df.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = parts(df)
+    buckets = buckets or BUCKETS * tasks
     width = len(group) + 2
     strings = [F.col(c).cast("string") for c in group]
     nulls = sum((F.when(c.isNull(), 1 << k).otherwise(0) for k, c in enumerate(strings)), F.lit(0))
     rows = df.select(
-        F.xxhash64(*strings).alias("h"),
+        _hash(strings).alias("h"),
         nulls.cast("int").alias("z"),
         *[F.coalesce(c, F.lit("")).alias(f"g{k}") for k, c in enumerate(strings)],
         (-score.cast("double")).alias("s"),
@@ -200,7 +237,8 @@ def top_n(df: DataFrame, group: list[str], score: Column, second: Column, item:
     stored = rows.sortWithinPartitions(*names).select(*names).mapInArrow(_runs(n, buckets, width), "bucket int, block binary")
     kinds = ["int", *["string"] * len(group), "double", "long", "boolean", "string"]
     schema = ", ".join(f"{c} {k}" for c, k in zip([*names[1:], "place"], [*kinds, "int"]))
-    merged = stored.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge(n, width), schema)
+    placed = stored.repartitionById(tasks, F.expr(f"CAST(CAST(bucket AS LONG) * {tasks} DIV {buckets} AS INT)"))
+    merged = placed.sortWithinPartitions("bucket").mapInArrow(_merge(n, width), schema)
     return merged.select(
         *[F.when(F.expr(f"(z & {1 << k}) = 0"), F.col(f"g{k}")).alias(c) for k, c in enumerate(group)],
         F.when(~F.col("no_item"), F.col("i")).alias("item"),
