@@ -251,7 +251,9 @@ def build(frequencies_: DataFrame, keys: list[str], partial: bool = False) -> Da
     hashed into the same counters whenever it is read or meets a sketch in the other form.
     """
     rows = frequencies_ if partial else frequencies_.repartition(*keys)
-    rows = rows.select(*keys, "code", "n").sortWithinPartitions(*keys, "code")
+    # bounds aren't needed here; with them the shuffle is the same as that of a check by the codes' bounds, and Spark runs it once
+    more = [c for c in ("low", "high") if c in frequencies_.columns and c not in keys]
+    rows = rows.select(*keys, "code", "n", *more).sortWithinPartitions(*keys, "code")
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
