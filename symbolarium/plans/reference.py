@@ -521,10 +521,13 @@ def cochange_hidden(spark: SparkSession, root: str) -> DataFrame:
 # ---- graph ----
 
 
+def _go_facts(spark: SparkSession, root: str) -> DataFrame:
+    go = extract.files_without_ignored(sources(spark, root)).filter("language = 'go'").withColumnRenamed("path", "file")
+    return extract.go_symbols(go, ["project", "file"])
+
+
 def _imports(spark: SparkSession, root: str) -> DataFrame:
-    found = extract.go_symbols(sources(spark, root).filter("language = 'go'").select(F.concat("project", F.lit("\u0001"), "path").alias("path"), "content"))
-    parts = F.split("path", "\u0001")
-    return found.filter("kind = 'import'").select(parts[0].alias("project"), parts[1].alias("file"), "name").distinct()
+    return _go_facts(spark, root).filter("kind = 'import'").select("project", "file", "name").distinct()
 
 
 def _guardrails(files: DataFrame) -> DataFrame:

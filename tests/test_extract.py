@@ -84,7 +84,8 @@ def test_go(spark):
     rows = [r.asDict() for r in extract.go_symbols(df).collect()]
     of = lambda kind: sorted((r["name"], r["line"], r["end_line"]) for r in rows if r["kind"] == kind and r["path"] == "a.go")
     assert of("def") == [("Run", 8, 12), ("helper", 15, 16)]
-    assert [n for n, *_ in of("import")] == ["fmt", "net/http"]
+    assert {r["name"]: r["is_interface"] for r in rows if r["kind"] == "def"} == {"Run": False, "helper": False, "broken": True}
+    assert of("import") == [("fmt", 4, 4), ("net/http", 5, 5)]
     assert [n for n, *_ in of("call")] == ["Println", "helper"]
     assert [r["is_method"] for r in rows if r["name"] == "Run"] == [True]
 
@@ -105,3 +106,49 @@ def test_config_instructions(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"version": "1", "instructions": ["plain", {"rule": "r", "scope": "s"}]}')
     got = source_files.config(spark, str(tmp_path / "c.json")).head().instructions
     assert [(i.rule, i.scope) for i in got] == [("plain", ""), ("r", "s")]
+
+
+MARKED = """package a
+// @ignore-unused
+func first(x int) {
+	if x > 0 {
+		first(x)
+	}
+}
+
+// @tool-ignore-unstable and more
+var y = 1
+
+func second() { second() }
+var text = "// no @ignore"
+"""
+
+
+def test_ends_of_marked_symbols(spark):
+    """The end is sought from the line that names the symbol again; 10 lines on where none does."""
+    df = spark.createDataFrame([("a.go", MARKED, "go"), ("b.go", "// @ignore-abandoned\nfunc alone() {\n}\n", "go"), ("c.go", "// @ignore-unused\n\nvar x\n", "go")], FILES)
+    rows = sorted((r.path, r.line, r.end_line, r.name, r.ignore_type) for r in extract.ignore_markers(df).collect())
+    assert rows == [("a.go", 2, 5, "first", "unused"), ("a.go", 9, 22, "second", "unstable"), ("b.go", 1, 12, "alone", "abandoned")]
+
+
+def test_facts_are_routed_by_language(spark):
+    files = [
+        ("p", "a.go", 'package a\nimport "fmt"\n// TODO: later\nfunc (t *T) Run() {\n\thelp(1)\n}\nfunc ext(x int)\n'),
+        ("p", "b.py", "# FIXME: now\ndef greet(x):\n    fetch(x)\n# @ignore-unused\ndef own():\n    pass\n"),
+        ("p", "c.R", "mean2 <- function(x) {\n"),
+        ("p", "run", "#!/bin/bash\nbuild() {\n"),
+        ("p", "d.go", "// @tool-ignore-file\nfunc hidden() {}\n"),
+        ("p", "e.txt", "func no() {}\n# @ignore-unused\nfunc yes() {}\n"),
+        ("p", "f.go", None),
+    ]
+    rows = extract.facts(spark.createDataFrame(files, "project STRING, path STRING, content STRING"), ["project", "path"]).collect()
+    found = {(r.path, r.type, r.name, r.line, r.end_line) for r in rows if r.type != "function_called" or r.path in ("a.go", "b.py")}
+    assert found == {
+        ("a.go", "import_found", "fmt", 2, 2), ("a.go", "todo_found", "", 3, 3), ("a.go", "function_defined", "Run", 4, 6), ("a.go", "function_called", "help", 5, 5), ("a.go", "function_defined", "ext", 7, 7),
+        ("b.py", "todo_found", "", 1, 0), ("b.py", "function_defined", "greet", 2, 0), ("b.py", "function_called", "fetch", 3, 0), ("b.py", "function_defined", "own", 5, 0), ("b.py", "ignore_flag", "own", 4, 15),
+        ("c.R", "function_defined", "mean2", 1, 0), ("run", "function_defined", "build", 2, 0), ("e.txt", "ignore_flag", "yes", 2, 13),
+    }
+    meta = {(r.path, r.type, r.name): r.metadata for r in rows}
+    assert meta["a.go", "function_defined", "Run"] == {"source_tier": "ast", "is_method": "true"} and meta["a.go", "function_defined", "ext"]["is_interface"] == "true"
+    assert meta["a.go", "todo_found", ""]["type"] == "TODO" and meta["b.py", "todo_found", ""]["text"] == "now" and meta["b.py", "ignore_flag", "own"]["ignore_type"] == "unused"
+    assert {r.confidence for r in rows if r.path == "run"} == {0.6} and {r.confidence for r in rows if r.path == "a.go"} == {1.0}
