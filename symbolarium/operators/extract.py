@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -26,18 +27,19 @@ def language_of(path: Column, first_line: Column, languages: list[Language] = LA
     The interpreter is the base name of the first word, or the second word after ``env``; the first
     language with a shebang that begins the interpreter's name is taken.
     """
-    ext = paths.extension(path)
-    by_ext = F.lit(None).cast("string")
-    for lang in reversed(languages):
-        by_ext = F.when(ext.isin(*lang.extensions), lang.id).otherwise(by_ext)
+    ids = [(e, x.id) for x in reversed(languages) for e in x.extensions]  # of several languages the first
+    by_ext = F.try_element_at(_constant_map(dict(ids), "string"), paths.extension(path))
     words = F.split(F.trim(F.regexp_extract(F.coalesce(first_line, F.lit("")), r"^#!(.*)$", 1)), r"\s+")
-    name = paths.base(words[0])
-    name = F.when((name == "env") & (F.size(words) > 1), F.try_element_at(words, F.lit(2))).otherwise(name)
-    by_mark = F.lit(None).cast("string")
-    for lang in reversed(languages):
-        for mark in reversed(lang.shebangs):
-            by_mark = F.when(name.startswith(mark), lang.id).otherwise(by_mark)
-    return F.coalesce(by_ext, by_mark)
+    marks = [(m, x.id) for x in languages for m in x.shebangs]
+
+    def named(w: Column) -> Column:
+        """The language of an interpreter's words."""
+        return F.when((w[0] == "env") & (F.size(w) > 1), F.try_element_at(w, F.lit(2))).otherwise(w[0])
+
+    # each step is evaluated once, as the only item of an array
+    parts = F.transform(F.array(words), lambda w: F.concat(F.array(paths.base(w[0])), F.slice(w, 2, 1)))
+    by_mark = F.transform(parts, lambda w: F.coalesce(*[F.when(named(w).startswith(m), F.lit(id_)) for m, id_ in marks]) if marks else F.lit(None).cast("string"))
+    return F.coalesce(by_ext, by_mark[0])
 
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -54,51 +56,59 @@ def files_without_ignored(files: DataFrame, content: str = "content") -> DataFra
     return files.filter(~F.coalesce(F.substring(content, 1, 200), F.lit("")).rlike(IGNORE_FILE))
 
 
-def _by_language(value, languages: list[Language]) -> Column:
-    """``value(language)`` of the row's language; null for languages without one."""
-    out = None
-    for lang in languages:
-        v = value(lang)
-        if v is not None:
-            out = F.when(F.col("language") == lang.id, v) if out is None else out.when(F.col("language") == lang.id, v)
-    return out.otherwise(F.lit(None)) if out is not None else F.lit(None).cast("string")
+def _of_language(value, languages: list[Language]) -> Column:
+    """``value(language)`` of the row's language; null for languages without one.
+
+    A lookup in a constant map, so that an expression is as long for thirty languages as for one. Spark
+    keeps the last pattern compiled: neighbouring lines are mostly of one file.
+    """
+    known = {x.id: v for x in languages if (v := value(x)) is not None}
+    kind = {str: "string", float: "double", tuple: "array<string>"}[type(next(iter(known.values()), ""))]
+    return F.try_element_at(_constant_map(known, kind), F.col("language"))
 
 
-def definition(line: Column, languages: list[Language] = LANGUAGES) -> Column:
-    """Name that the line defines, or null: the first pattern with a name that isn't a keyword; needs a column ``language``.
+def _constant_map(values: dict, kind: str) -> Column:
+    """A map as one literal, which the planner reads once."""
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
 
-    Patterns are literals, so each is compiled once for each task.
-    """
 
-    def first(lang: Language) -> Column | None:
-        names = [F.regexp_extract(line, p, 1) for p in (*lang.functions, *lang.types)]
-        return F.coalesce(*[F.when((n != "") & ~n.isin(*lang.keywords), n) for n in names]) if names else None
+def _slots(values, languages: list[Language]) -> list[Column]:
+    """The first, second, ... of the texts ``values(language)`` of the row's language, as many as any language has."""
+    most = max((len(values(x)) for x in languages), default=0)
+    return [_of_language(lambda x, k=k: values(x)[k] if k < len(values(x)) else None, languages) for k in range(most)]
 
-    return _by_language(first, languages)
+
+def _extracted(line: Column, pattern: Column, group: int = 1) -> Column:
+    return F.call_function("regexp_extract", line, pattern, F.lit(group))
+
+
+def definition(line: Column, languages: list[Language] = LANGUAGES) -> Column:
+    """Name that the line defines, or null: the first pattern with a name that isn't a keyword; needs a column ``language``."""
+    words = _of_language(lambda x: x.keywords, languages)
+    names = [_extracted(line, p) for p in _slots(lambda x: (*x.functions, *x.types), languages)]
+    return F.coalesce(*[F.when((n != "") & ~F.array_contains(words, n), n) for n in names])
 
 
 def definitions(lined: DataFrame, languages: list[Language] = LANGUAGES) -> DataFrame:
     """Rows of ``lines`` with a column ``language`` that define something, with ``name`` and ``confidence``."""
-    sure = _by_language(lambda x: F.lit(CONFIDENCE[x.tier]), languages)
+    sure = _of_language(lambda x: CONFIDENCE[x.tier], languages)
     return lined.withColumn("name", definition(F.col("line"), languages)).filter("name IS NOT NULL").withColumn("confidence", sure)
 
 
 def calls(lined: DataFrame, languages: list[Language] = LANGUAGES) -> DataFrame:
     """Names called by lines that define nothing and aren't comments: each once a line, without keywords."""
 
-    def names(lang: Language) -> Column | None:
-        if not lang.calls:
-            return None
-        trimmed = F.btrim(F.col("line"), F.lit(" \t\r\n"))
-        comment = F.lit(False)
-        for mark in lang.line_comments:
-            comment = comment | trimmed.startswith(mark)
-        found = F.flatten(F.array(*[F.regexp_extract_all(F.col("line"), F.lit(p), F.lit(1)) for p in lang.calls]))
-        kept = F.array_except(F.array_distinct(found), F.array(*[F.lit(k) for k in ("", *lang.keywords)]))
-        return F.when(~comment & definition(F.col("line"), [lang]).isNull(), kept)
-
-    sure = _by_language(lambda x: F.lit(CONFIDENCE[x.tier]), languages)
-    return lined.withColumn("name", F.explode(_by_language(names, languages))).withColumn("confidence", sure)
+    line = F.col("line")
+    trimmed = F.btrim(line, F.lit(" \t\r\n"))
+    comment = F.lit(False)
+    for mark in _slots(lambda x: x.line_comments, languages):
+        comment = comment | F.coalesce(F.startswith(trimmed, mark), F.lit(False))
+    found = [F.coalesce(F.call_function("regexp_extract_all", line, p, F.lit(1)), F.array().cast("array<string>")) for p in _slots(lambda x: x.calls, languages)]
+    words = _of_language(lambda x: ("", *x.keywords), languages)
+    names = F.array_except(F.array_distinct(F.flatten(F.array(*found))), words)
+    sure = _of_language(lambda x: CONFIDENCE[x.tier], languages)
+    plain = lined.filter(~comment & definition(line, languages).isNull())
+    return plain.withColumn("name", F.explode(names)).withColumn("confidence", sure)
 
 
 def todo_pattern(lang: Language) -> str:
@@ -109,8 +119,7 @@ def todo_pattern(lang: Language) -> str:
 
 def todos(lined: DataFrame, languages: list[Language] = LANGUAGES) -> DataFrame:
     """Rows of ``lines`` that hold a todo, with ``type`` in upper case and trimmed ``text``."""
-    kind = _by_language(lambda x: F.regexp_extract("line", todo_pattern(x), 1), languages)
-    text = _by_language(lambda x: F.regexp_extract("line", todo_pattern(x), 2), languages)
+    kind, text = (_extracted(F.col("line"), _of_language(todo_pattern, languages), k) for k in (1, 2))
     return lined.withColumn("type", F.upper(kind)).filter("type <> ''").withColumn("text", F.btrim(text, F.lit(" \t\r\n")))
 
 
@@ -220,7 +229,8 @@ def ignore_markers(files: DataFrame, languages: list[Language] = LANGUAGES, keys
 
 _SKIP = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|`[^`]*`|\'(?:\\.|[^\'\\\n])*\'', re.DOTALL)
 _FUNC = re.compile(r"^func\s+(\((?:[^()]*)\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\s*\(", re.MULTILINE)
-_GO_CALL = re.compile(r"(?<![\w.])(?:\w+\.)*(\w+)\s*\(")
+_GO_CALL = re.compile(r"(\w+)[ \t]*\(")
+_GO_INTERFACE = re.compile(r"\binterface\s*\{")
 _IMPORT = re.compile(r'^import\s*(?:\(([^)]*)\)|[\w.]*\s*"([^"]+)")', re.MULTILINE)
 _GO_TODO = re.compile(rf"(?i)(?://|/\*|\*)\s*({TODO_WORDS}):\s*(.*)")
 _GO_WORDS = frozenset("if for switch select return func go defer range case map chan struct interface type var const package import else".split())
@@ -272,8 +282,13 @@ def _go(source: str) -> Iterator[tuple]:
             k = int(np.searchsorted(back, begin))
             end = int(back[k]) if k < len(back) else len(blank) - 1
         yield "def", m[2], line(m.start()), line(end), m[1] is not None, not body, None
+    outside = np.ones(len(blank) + 1, bool)  # what an interface lists isn't called there
+    for m in _GO_INTERFACE.finditer(blank):
+        back = close_at.get(int(braces[m.end() - 1]) - 1, none)
+        k = int(np.searchsorted(back, m.end()))
+        outside[m.end() : back[k] if k < len(back) else len(blank)] = False
     for m in _GO_CALL.finditer(blank):
-        if m[1] not in _GO_WORDS and m.start(1) not in declared:
+        if m[1] not in _GO_WORDS and m.start(1) not in declared and outside[m.start(1)]:
             yield "call", m[1], line(m.start(1)), line(m.start(1)), False, False, None
 
 
@@ -314,8 +329,8 @@ def facts(files: DataFrame, keys: list[str], languages: list[Language] = LANGUAG
     known = files_without_ignored(files.select(*keys, "content").filter("content IS NOT NULL"))
     known = known.withColumn("language", language_of(F.col(path), F.substring_index("content", "\n", 1), languages))
     parsed = [x.id for x in languages if x.tier == "ast"]
-    tier = _by_language(lambda x: F.lit(x.tier), languages)
-    sure = _by_language(lambda x: F.lit(CONFIDENCE[x.tier]), languages)
+    tier = _of_language(lambda x: x.tier, languages)
+    sure = _of_language(lambda x: CONFIDENCE[x.tier], languages)
 
     def rows(df: DataFrame, kind: Column, end: Column, **more: Column) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in {"source_tier": tier, **more}.items()])

@@ -46,10 +46,13 @@ def edges(df: DataFrame, kind: str, src: Column, dst: Column, weight: Column | f
 
 
 def merged_edges(all_edges: DataFrame) -> DataFrame:
-    """One edge for each project, type and pair of ends: greatest weight, first evidence, number of occurrences."""
-    return all_edges.groupBy("project", "type", "src", "dst").agg(
-        F.max("weight").alias("weight"), F.min(F.when(F.col("evidence") != "", F.col("evidence"))).alias("evidence"), F.count(F.lit(1)).alias("occurrences")
-    )
+    """One edge for each project, type and pair of ends: greatest weight, first evidence, number of occurrences.
+
+    Rows have no order, so the first evidence is that of the lowest line it names, then the least text.
+    """
+    line = F.regexp_extract("evidence", r"at line (\d+)$", 1).try_cast("int")
+    first = F.min(F.when(F.col("evidence") != "", F.struct(F.coalesce(line, F.lit(0)).alias("line"), "evidence")))["evidence"]
+    return all_edges.groupBy("project", "type", "src", "dst").agg(F.max("weight").alias("weight"), first.alias("evidence"), F.count(F.lit(1)).alias("occurrences"))
 
 
 def merged_nodes(all_nodes: DataFrame) -> DataFrame:
@@ -102,15 +105,28 @@ def scope_matches(scopes: DataFrame, files: DataFrame) -> DataFrame:
     """``project, id, file``: files that each scope names: a path (a line part is ignored) or a single-level glob.
 
     ``scopes`` has ``project, id, scope``; empty ones and "project" match nothing. Exact scopes are an
-    equality join; only distinct globs are turned into patterns and compared within their project.
+    equality join; globs meet only files of their project and first folder, and as many folders deep, as
+    no wildcard crosses a slash.
     """
     clean = F.regexp_replace(F.regexp_replace(F.trim("scope"), r"^([^:]+):.*$", "$1"), r"^\./", "")
     usable = scopes.select("project", "id", clean.alias("s")).filter("s <> '' AND s <> 'project'")
     exact = usable.join(files.select("project", F.col("file").alias("s")), ["project", "s"]).select("project", "id", F.col("s").alias("file"))
     quoted = F.regexp_replace("s", r"([.^$+{}()|\\\[\]])", r"\\$1")
     pattern = F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
-    wild = usable.filter(F.col("s").rlike(r"[*?]")).select("project", "id", pattern.alias("p"))
-    return exact.unionByName(wild.join(files.select("project", "file"), "project").filter("file RLIKE p").select("project", "id", "file")).distinct()
+    deep = lambda c: F.size(F.split(c, "/"))
+    wild = usable.filter(F.col("s").rlike(r"[*?]")).select("project", "id", pattern.alias("p"), _first_folder(F.col("s")).alias("first"), deep("s").alias("deep"))
+    met = wild.join(_by_first_folder(files).withColumn("deep", deep("file")), ["project", "first", "deep"])
+    return exact.unionByName(met.filter("file RLIKE p").select("project", "id", "file")).distinct()
+
+
+def _first_folder(glob: Column) -> Column:
+    """What a glob's files must begin with: its first segment if that is a folder without wildcards, else "*"."""
+    return F.when(F.contains(glob, F.lit("/")) & ~F.substring_index(glob, "/", 1).rlike(r"[*?\[]"), F.substring_index(glob, "/", 1)).otherwise("*")
+
+
+def _by_first_folder(files: DataFrame) -> DataFrame:
+    """Files under their first segment, and once more under "*"."""
+    return files.select("project", "file", F.explode(F.array_distinct(F.array(F.substring_index("file", "/", 1), F.lit("*")))).alias("first"))
 
 
 def intent_part(intents: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +147,8 @@ def guardrail_part(guardrails: DataFrame, files: DataFrame) -> tuple[DataFrame,
     below = F.regexp_replace(F.regexp_replace("glob", r"([.^$+{}()|\\\[\]])", r"\\$1"), r"/\*\*$", "\u0001")
     one = F.replace(F.replace(below, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
     each = each.withColumn("p", F.concat(F.lit("^"), F.replace(one, F.lit("\u0001"), F.lit("(?:/.*)?")), F.lit("$")))
-    met = files.select("project", "file").join(each, "project").filter("p IS NULL OR file RLIKE p").select("project", "id", "file").distinct()
+    each = each.withColumn("first", F.coalesce(_first_folder(F.col("glob")), F.lit("*")))
+    met = _by_first_folder(files).join(each, ["project", "first"]).filter("p IS NULL OR file RLIKE p").select("project", "id", "file").distinct()
     return n, edges(met, "PROTECTS", own, typed_id("file", F.col("file")), 1.0)
 
 
@@ -224,12 +241,41 @@ def test_part(symbols: DataFrame, definitions: DataFrame, resolved: DataFrame) -
 
 
 def stats(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """``project, metric, key, value``: nodes and edges in all and by type."""
+    """``project, metric, key, value``: nodes and edges in all and by type; flags: dependencies with importers, and whether there are co-changes."""
     n = node_rows.groupBy("project", "type").agg(F.count(F.lit(1)).alias("value")).select("project", F.lit("nodes").alias("metric"), F.col("type").alias("key"), "value")
     e = edge_rows.groupBy("project", "type").agg(F.count(F.lit(1)).alias("value")).select("project", F.lit("edges").alias("metric"), F.col("type").alias("key"), "value")
     both = n.unionByName(e)
     total = both.groupBy("project", "metric").agg(F.sum("value").alias("value")).select("project", "metric", F.lit("").alias("key"), "value")
-    return both.unionByName(total)
+    flag = edge_rows.groupBy("project").agg(
+        F.countDistinct(F.when(F.col("type") == "DEPENDS_ON", F.col("dst"))).alias("deps_with_importers"), F.max((F.col("type") == "CO_CHANGES_WITH").cast("long")).alias("has_co_changes")
+    )
+    flags = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in ("deps_with_importers", "has_co_changes")])).alias("x")
+    return both.unionByName(total).unionByName(flag.select("project", F.lit("flags").alias("metric"), flags).select("project", "metric", "x.key", "x.value"))
+
+
+def co_changes_of(edge_rows: DataFrame, node_ids: DataFrame, least: float = 0.0) -> DataFrame:
+    """``project, id, other, weight``: files that change together with the given nodes, each once; edges of either direction at ``least`` or more."""
+    met = incident(edge_rows.filter((F.col("type") == "CO_CHANGES_WITH") & (F.col("weight") >= least)), node_ids)
+    other = F.when(F.col("out"), F.col("dst")).otherwise(F.col("src"))
+    return met.groupBy("project", "id", other.alias("other")).agg(F.max("weight").alias("weight"))
+
+
+def affected_files(radius: DataFrame, node_rows: DataFrame) -> DataFrame:
+    """``project, seed, files, nodes``: distinct files, by the nodes' path or file, and nodes that a :func:`blast_radius` reaches."""
+    file = F.coalesce(F.col("attrs")["file"], F.col("attrs")["path"])
+    at = node_rows.select("project", "id", file.alias("__file"))
+    return radius.join(at, ["project", "id"], "left").groupBy("project", "seed").agg(F.countDistinct("__file").alias("files"), F.count(F.lit(1)).alias("nodes"))
+
+
+def symbols_named(node_rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Symbol nodes of the given names (``project, label``)."""
+    return node_rows.filter("type = 'symbol'").join(names.select("project", "label").distinct(), ["project", "label"], "left_semi")
+
+
+def symbols_in(node_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbol nodes of the given files (``project, file``)."""
+    own = node_rows.filter("type = 'symbol'").withColumn("file", F.col("attrs")["file"])
+    return own.join(files.select("project", "file").distinct(), ["project", "file"], "left_semi").drop("file")
 
 
 def degrees(edge_rows: DataFrame) -> DataFrame:
@@ -367,6 +413,31 @@ def exported_edges(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select("project", own.alias("id"), "type", "src", "dst", F.format_string("%.4f", F.coalesce("weight", F.lit(0.0))).alias("weight"))
 
 
+def whole_attr(attrs: Column, key: str) -> Column:
+    """A whole number among attributes; null without it or where it isn't one."""
+    return F.when(attrs[key].rlike(r"^[+-]?\d+$"), attrs[key].try_cast("bigint"))
+
+
+def parsed_attrs(text: Column) -> Column:
+    """Attributes of an export's ``k=v`` list; a part without ``=`` belongs to none and is left out."""
+    pairs = F.filter(F.split(text, ","), lambda x: F.contains(x, F.lit("=")))
+    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=", "").alias("value"))))
+
+
+def json_nodes(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """``project, id, json``: nodes for drawing, with state, file, attributes and degree."""
+    n = node_rows.join(degrees(edge_rows), ["project", "id"], "left")
+    a = F.col("attrs")
+    fields = F.struct("id", "label", "type", a["state"].alias("state"), F.coalesce(a["file"], a["path"]).alias("file"), F.coalesce("degree", F.lit(0)).alias("degree"), "attrs")
+    return n.select("project", "id", F.to_json(fields).alias("json"))
+
+
+def json_links(edge_rows: DataFrame) -> DataFrame:
+    """``project, id, json``: edges for drawing."""
+    own = F.concat_ws("|", "type", "src", "dst")
+    return edge_rows.select("project", own.alias("id"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type", "weight")).alias("json"))
+
+
 def node_size(degree: Column) -> Column:
     """Size at which a node is drawn."""
     return 2 + F.log2(degree + 1)

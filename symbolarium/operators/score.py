@@ -7,8 +7,21 @@ from pyspark.sql import functions as F
 
 # Days of the decay, newest commits that count, hours of an activity window.
 TAU, NEWEST, WINDOW_HOURS = 30.0, 50, 24
-#: Lines of a range that share a bucket in range joins.
-LINES = 64
+#: Lines of a bucket of the finest level in range joins, the factor between levels, and how many there are: the coarsest has a billion lines.
+LINES, COARSER, LEVELS = 64, 16, 7
+
+
+def range_keys(first: str, last: str) -> Column:
+    """Keys of a range's buckets: at the finest level at which there are at most 17, however far the range goes."""
+    span = f"CAST(`{last}` AS LONG) - `{first}`"
+    level = "CASE " + " ".join(f"WHEN {span} < {LINES * COARSER ** (k + 1)}L THEN {k}" for k in range(LEVELS - 1)) + f" ELSE {LEVELS - 1} END"
+    width = f"shiftleft({LINES}L, {COARSER.bit_length() - 1} * ({level}))"
+    return F.expr(f"transform(sequence(`{first}` DIV {width}, `{last}` DIV {width}), b -> b + shiftleft(CAST({level} AS LONG), 40))")
+
+
+def point_keys(line: str) -> Column:
+    """Keys of the buckets that a line lies in, one for each level."""
+    return F.array(*[F.expr(f"`{line}` DIV {LINES * COARSER**k}L + {k << 40}L") for k in range(LEVELS)])
 
 
 def called(symbols: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,12 +43,12 @@ def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], line: str =
 
     ``points`` has ``keys``, ``point_id`` and ``line``; ``ranges`` has ``keys``, ``owner``, ``first``
     and ``last``. Equal spans: lower ``first``, then ``owner``. A range without an end (``last`` 0 or null)
-    holds nothing. Ranges are cut into buckets of 64 lines, which makes the join an equality: a
-    point meets the ranges of its own bucket only, however many a file has.
+    holds nothing. Ranges are cut into buckets of lines, which makes the join an equality: a
+    point meets the ranges of its own buckets only, however many a file has.
     """
     usable = ranges.filter("last >= first AND first > 0")
-    cut = usable.select(*keys, "owner", "first", "last", F.explode(F.expr(f"sequence(first DIV {LINES}, last DIV {LINES})")).alias("__bucket"))
-    placed = points.withColumn("__bucket", F.expr(f"`{line}` DIV {LINES}"))
+    cut = usable.select(*keys, "owner", "first", "last", F.explode(range_keys("first", "last")).alias("__bucket"))
+    placed = points.withColumn("__bucket", F.explode(point_keys(line)))
     met = placed.join(cut, [*keys, "__bucket"]).filter(F.col(line).between(F.col("first"), F.col("last")))
     best = F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "first", "owner")).alias("__best")
     return met.groupBy(*keys, "point_id", line).agg(best).select(*keys, "point_id", line, F.col("__best.owner").alias("owner"), F.col("__best.span").alias("span"))
@@ -46,8 +59,8 @@ def has_todo(symbols: DataFrame, todos: DataFrame, keys: list[str]) -> DataFrame
 
     By the same buckets as :func:`innermost`; a symbol of unknown end has none.
     """
-    ranged = symbols.filter("end_line >= line AND line > 0").select(*keys, "name", "line", "end_line", F.explode(F.expr(f"sequence(line DIV {LINES}, end_line DIV {LINES})")).alias("__bucket"))
-    points = todos.select(*keys, F.col("line").alias("__at")).withColumn("__bucket", F.expr(f"__at DIV {LINES}"))
+    ranged = symbols.filter("end_line >= line AND line > 0").select(*keys, "name", "line", "end_line", F.explode(range_keys("line", "end_line")).alias("__bucket"))
+    points = todos.select(*keys, F.col("line").alias("__at")).distinct().withColumn("__bucket", F.explode(point_keys("__at")))
     hit = ranged.join(points, [*keys, "__bucket"]).filter("__at BETWEEN line AND end_line").select(*keys, "name", "line").distinct()
     return _flag(symbols, hit, [*keys, "name", "line"], "has_todo")
 
@@ -172,10 +185,11 @@ def ignored(symbols: DataFrame, markers: DataFrame, keys: list[str]) -> DataFram
     ``markers`` has ``keys, marker_id, mark_name, mark_line, ignore_type``. Of several symbols the
     first by line, then name. The two ways are two equality joins, united.
     """
-    by_name = markers.join(symbols.select(*keys, F.col("name"), "line"), keys).filter("name = mark_name").select(*keys, "marker_id", "ignore_type", "name", "line")
+    named = symbols.select(*keys, F.col("name").alias("mark_name"), "line")
+    by_name = markers.join(named, [*keys, "mark_name"]).select(*keys, "marker_id", "ignore_type", F.col("mark_name").alias("name"), "line")
     points = markers.select(*keys, F.col("marker_id").alias("point_id"), F.col("mark_line").alias("at"), "ignore_type")
-    ranges = symbols.filter("end_line >= line AND line > 0").select(*keys, "name", "line", "end_line", F.explode(F.expr(f"sequence(line DIV {LINES}, end_line DIV {LINES})")).alias("__b"))
-    by_line = points.withColumn("__b", F.expr(f"at DIV {LINES}")).join(ranges, [*keys, "__b"]).filter("at BETWEEN line AND end_line")
+    ranges = symbols.filter("end_line >= line AND line > 0").select(*keys, "name", "line", "end_line", F.explode(range_keys("line", "end_line")).alias("__b"))
+    by_line = points.withColumn("__b", F.explode(point_keys("at"))).join(ranges, [*keys, "__b"]).filter("at BETWEEN line AND end_line")
     both = by_name.unionByName(by_line.select(*keys, F.col("point_id").alias("marker_id"), "ignore_type", "name", "line"))
     first = F.min(F.struct("line", "name")).alias("__f")
     return both.groupBy(*keys, "marker_id", "ignore_type").agg(first).select(*keys, "marker_id", "ignore_type", F.col("__f.name").alias("name"), F.col("__f.line").alias("line"))

@@ -16,9 +16,9 @@ from symbolarium.functions import normalise as N
 from symbolarium.functions.sizing import attach
 from symbolarium.operators import cochange, current, extract, graph, reports, score, similarity, snapshots
 from symbolarium.plans import sql
-from symbolarium.session import checkpoint_dir, stored
-from symbolarium.sources import delimited, table
-from symbolarium.sources.languages import LANGUAGES
+from symbolarium.session import built, checkpoint_dir, stored
+from symbolarium.sources import delimited, state_of, table
+from symbolarium.sources.languages import CONFIDENCE, LANGUAGES
 from symbolarium.streaming import deliveries
 
 #: 2026-01-01 00:00:00 UTC.
@@ -453,9 +453,13 @@ def tokenize_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, root: str) -> DataFrame:
+    return _candidates(intents(spark, root), todos(spark, root))
+
+
+def _candidates(own: DataFrame, open_: DataFrame) -> DataFrame:
     """``project, id, text``: intents (with each tag twice) and open todos."""
-    i = intents(spark, root).select("project", F.concat(F.lit("intent:"), "id").alias("id"), text.candidate_text(F.col("message"), F.col("tags")).alias("text"))
-    t = todos(spark, root).filter("NOT resolved").select("project", F.concat(F.lit("todo:"), "file", F.lit(":"), F.col("line").cast("string")).alias("id"), "text")
+    i = own.select("project", F.concat(F.lit("intent:"), "id").alias("id"), text.candidate_text(F.col("message"), F.col("tags")).alias("text"))
+    t = open_.filter("NOT resolved").select("project", F.concat(F.lit("todo:"), "file", F.lit(":"), F.col("line").cast("string")).alias("id"), "text")
     return i.unionByName(t)
 
 
@@ -481,7 +485,11 @@ def tfidf_similar(spark: SparkSession, root: str) -> DataFrame:
     return similarity.related(candidates(spark, root), "project", 0.6, 6).withColumn("similarity", F.round("similarity", 6))
 
 
-@_query()
+_RELATED = """related_ AS (SELECT project, id, other, similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY project, id ORDER BY round(similarity, 9) DESC, other) AS place FROM sim WHERE similarity >= 0.2) WHERE place <= 6)"""
+
+
+@_query(f"WITH {_TFIDF}, {_RELATED} SELECT project, id, other, round(similarity, 6) AS similarity FROM related_")
 def tfidf_related(spark: SparkSession, root: str) -> DataFrame:
     """Related intents and todos at the reference's threshold of 0.2, the top 6 of each."""
     return _related(spark, root).withColumn("similarity", F.round("similarity", 6))
@@ -536,19 +544,30 @@ def _guardrails(files: DataFrame) -> DataFrame:
     return files.select("project").distinct().select("project", *rule)
 
 
+_GRAPH_TABLES = ["project_states", "symbols", "todos", "intent_updates", "documents", "commit_files"]
+
+
 def graph_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """All nodes and edges of all projects."""
-    s = symbols(spark, root)
-    files = s.select("project", "file").distinct()
-    lines = lined(spark, root)
+    """All nodes and edges of all projects; built once for each state of the tables and kept as two tables, as an exported graph is."""
+    return built(spark, ("graph", root, state_of(spark, root, *_GRAPH_TABLES)), lambda: _graph_parts(spark, root))
+
+
+def _graph_parts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    s = stored(symbols(spark, root))
+    t, i, go = stored(todos(spark, root)), stored(intents(spark, root)), stored(_go_facts(spark, root))
+    files = stored(s.select("project", "file").distinct())
+    lines = lined(spark, root).filter("language <> 'go'")  # Go has a scanner of its own
+    sure = F.lit(CONFIDENCE["ast"]).alias("confidence")
     calls = extract.calls(lines).select("project", F.col("path").alias("file"), F.col("line_no").alias("line"), "name", "confidence")
-    defined = extract.definitions(lines).select("project", F.col("path").alias("file"), "name")
-    imports = graph.resolved_imports(_imports(spark, root), files)
-    related = _related(spark, root)
+    calls = calls.unionByName(go.filter("kind = 'call'").select("project", "file", "line", "name", sure))
+    defined = extract.definitions(lines).select("project", F.col("path").alias("file"), "name").unionByName(go.filter("kind = 'def'").select("project", "file", "name"))
+    imports = stored(graph.resolved_imports(go.filter("kind = 'import'").select("project", "file", "name").distinct(), files))
+    related = similarity.related_by_blocks(_candidates(i, t), "project", 0.2, 6)
     pairs = cochange.hidden(cochange.co_changes(commit_files(spark, root)), imports.filter("dst IS NOT NULL").select("project", "src", "dst"))
+    modules = files.select("project", F.concat(F.lit("example.org/"), "project").alias("module")).distinct()
     parts = [
-        graph.symbol_part(s), graph.todo_part(s, todos(spark, root)), graph.intent_part(intents(spark, root), files), graph.import_part(imports),
-        graph.test_part(s, defined, imports), graph.guardrail_part(_guardrails(files), files),
+        graph.symbol_part(s), graph.todo_part(s, t), graph.intent_part(i, files), graph.import_part(imports),
+        graph.test_part(s, defined, imports), graph.guardrail_part(_guardrails(files), files), graph.module_part(modules, files),
     ]
     edges = [e for _, e in parts]
     edges.append(graph.call_part(s, calls))
@@ -606,7 +625,8 @@ def graph_nodes(spark: SparkSession, root: str) -> DataFrame:
 
 @_query(
     f"""WITH {_GRAPH}, x AS (SELECT project, 'nodes' AS metric, type AS key, count(*) AS value FROM nodes_ GROUP BY ALL UNION ALL SELECT project, 'edges', type, count(*) FROM edges_ GROUP BY ALL)
-    SELECT * FROM x UNION ALL SELECT project, metric, '', sum(value)::BIGINT FROM x GROUP BY project, metric"""
+    SELECT * FROM x UNION ALL SELECT project, metric, '', sum(value)::BIGINT FROM x GROUP BY project, metric
+    UNION ALL SELECT project, 'flags', unnest(['deps_with_importers', 'has_co_changes']), 0 FROM (SELECT DISTINCT project FROM edges_)"""
 )
 def graph_stats(spark: SparkSession, root: str) -> DataFrame:
     return graph.stats(*_small_graph(spark, root))
@@ -617,9 +637,43 @@ def node_degree(spark: SparkSession, root: str) -> DataFrame:
     return graph.degrees(_small_graph(spark, root)[1])
 
 
-@_query()
+#: Go calls line by line: comments and texts blanked out, the declared name taken off.
+_GO_LINE = r"""regexp_replace(regexp_replace(line, '//.*|/\*.*?\*/|"(\\.|[^"\\])*"|`[^`]*`|\x27(\\.|[^\x27\\])*\x27', ' ', 'g'), '^func\s+(\([^()]*\)\s*)?\w+', ' ')"""
+_GO_NO_CALLS = ", ".join(map(_quoted, "if for switch select return func go defer range case map chan struct interface type var const package import else".split()))
+_WHOLE_GRAPH = f"""{_TFIDF}, {_RELATED}, {SYMBOLS.replace(sql.SNAPSHOTS + ',', '', 1)}, {_INNER}, {SOURCES}, {DEFINITIONS}, {_COCHANGE}, {_GRAPH[_GRAPH.index("files_ AS"):_GRAPH.index("edges_ AS (SELECT project, type")]}
+found_calls AS (
+  SELECT project, path AS file, line_no AS line, unnest({_calls_sql()}) AS name, CASE WHEN language IN ({', '.join(_quoted(x.id) for x in LANGUAGES if x.tier == 'lexical')}) THEN 0.8 ELSE 0.6 END AS sure
+    FROM definitions_ WHERE definitions_.name IS NULL AND language <> 'go'
+  UNION ALL SELECT DISTINCT project, path, line_no, unnest(list_filter(list_distinct(regexp_extract_all({_GO_LINE}, '(\\w+)[ \\t]*\\(', 1)), lambda n: n NOT IN ({_GO_NO_CALLS}))), 1.0 FROM lines_ WHERE language = 'go'),
+called_at AS (SELECT DISTINCT * FROM found_calls),
+around AS (
+  SELECT c.*, s.name AS owner FROM called_at c JOIN symbols_ s ON s.project = c.project AND s.file = c.file AND c.line BETWEEN s.line AND s.end_line
+  WHERE s.end_line >= s.line AND s.line > 0 QUALIFY row_number() OVER (PARTITION BY c.project, c.file, c.line, c.name, c.sure ORDER BY s.end_line - s.line, s.line, s.name) = 1),
+named AS (SELECT project, name, count(*) AS n FROM symbols_ GROUP BY ALL),
+all_edges AS (
+  SELECT project, type, src, dst, weight FROM raw_edges
+  UNION ALL SELECT a.project, 'CALLS', 'symbol:' || a.file || '::' || a.owner, 'symbol:' || t.file || '::' || t.name, a.sure / n.n
+    FROM around a JOIN named n ON n.project = a.project AND n.name = a.name JOIN symbols_ t ON t.project = a.project AND t.name = a.name
+  UNION ALL SELECT project, 'RELATED_TO', id, other, similarity FROM related_
+  UNION ALL SELECT project, 'CO_CHANGES_WITH', 'file:' || file_a, 'file:' || file_b, jaccard FROM cochange_
+  UNION ALL SELECT project, 'CO_CHANGES_WITH', 'file:' || file_b, 'file:' || file_a, jaccard FROM cochange_
+  UNION ALL SELECT project, 'CONTAINS', 'module:example.org/' || project, 'file:' || file, 1.0 FROM files_),
+edges_ AS (SELECT project, type, src, dst, max(weight)::DOUBLE AS weight, count(*) AS occurrences FROM all_edges GROUP BY ALL),
+nodes_ AS (
+  SELECT project, 'symbol:' || file || '::' || name AS id, 'symbol' AS type FROM symbols_ UNION SELECT project, 'file:' || file, 'file' FROM files_
+  UNION SELECT project, 'todo:' || file || ':' || line, 'todo' FROM todos_ WHERE NOT resolved UNION SELECT project, 'intent:' || id, 'intent' FROM intents_ UNION SELECT project, 'guardrail:generated', 'guardrail' FROM files_
+  UNION SELECT project, 'module:example.org/' || project, 'module' FROM files_ UNION SELECT project, 'snapshot:' || snapshot_hash, 'snapshot' FROM snaps)"""
+_CHOSEN = "chosen AS (SELECT project, id FROM nodes_ WHERE substr(md5(project || chr(1) || id), 1, 2) < '05')"
+
+
+@_query(
+    f"""WITH {_WHOLE_GRAPH}, x AS (SELECT project, 'nodes' AS metric, type AS key, count(*) AS value FROM nodes_ GROUP BY ALL UNION ALL SELECT project, 'edges', type, count(*) FROM edges_ GROUP BY ALL)
+    SELECT * FROM x UNION ALL SELECT project, metric, '', sum(value)::BIGINT FROM x GROUP BY project, metric
+    UNION ALL SELECT project, 'flags', 'deps_with_importers', 0 FROM edges_ GROUP BY project
+    UNION ALL SELECT project, 'flags', 'has_co_changes', max((type = 'CO_CHANGES_WITH')::BIGINT) FROM edges_ GROUP BY project"""
+)
 def graph_full(spark: SparkSession, root: str) -> DataFrame:
-    """Numbers of nodes and edges of the whole graph, with calls, imports, tests, related texts and co-changes."""
+    """Numbers of nodes and edges of the whole graph, with calls, imports, tests, related texts, co-changes and modules."""
     return graph.stats(*graph_parts(spark, root))
 
 
@@ -680,35 +734,84 @@ def shortest_path(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _some_nodes(nodes: DataFrame) -> DataFrame:
-    """``project, id``: about a fiftieth of all nodes, of every type: those whose hash is divisible by 50."""
-    return nodes.filter(F.pmod(F.xxhash64("project", "id"), F.lit(50)) == 0).select("project", "id")
+    """``project, id``: about a fiftieth of all nodes, of every type: those whose digest begins with 00 to 04."""
+    return nodes.filter(F.substring(F.md5(F.concat_ws("\u0001", "project", "id")), 1, 2) < "05").select("project", "id")
 
 
-@_query()
+_ROLES = {
+    "out": {"CALLS": "callees", "IMPORTS": "imports", "DEPENDS_ON": "imports", "TESTS": "tested", "SCOPE_MATCH": "intents", "HAS_TODO": "todo", "CO_CHANGES_WITH": "co_changes", "CONTAINS": "contains", "DEFINED_IN": "defined_in", "PROTECTS": "protected"},
+    "in": {"CALLS": "callers", "IMPORTS": "imported_by", "TESTS": "tests", "SCOPE_MATCH": "intents", "CO_CHANGES_WITH": "co_changes", "PROTECTS": "protects"},
+}
+
+
+def _role_sql(way: str, end: str) -> str:
+    cases = " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in _ROLES[way].items())
+    kinds = ", ".join(f"'{t}'" for t in _ROLES[way])
+    return f"SELECT e.project, e.{end} AS id, CASE e.type {cases} END AS role, e.type, e.src, e.dst, round(e.weight, 6) AS weight FROM edges_ e JOIN chosen c ON c.project = e.project AND c.id = e.{end} WHERE e.type IN ({kinds})"
+
+
+@_query(f"WITH {_WHOLE_GRAPH}, {_CHOSEN} {_role_sql('out', 'src')} UNION ALL {_role_sql('in', 'dst')}")
 def trace_node_whole(spark: SparkSession, root: str) -> DataFrame:
     """Every relation in the whole graph of a fiftieth of its nodes."""
     n, e = graph_parts(spark, root)
-    return graph.trace(stored(e), stored(_some_nodes(n)))
+    return graph.trace(e, stored(_some_nodes(n))).withColumn("weight", F.round("weight", 6))
 
 
-@_query()
+_RADIUS = f"""{_WHOLE_GRAPH}, {_CHOSEN}, steps AS (
+      SELECT project, src AS at_, dst AS to_, weight, '0' || type || chr(1) || dst AS o FROM edges_
+      UNION ALL SELECT project, dst, src, weight, '1' || type || chr(1) || src FROM edges_ WHERE type IN ('CALLS', 'TESTS', 'IMPORTS', 'SCOPE_MATCH', 'CO_CHANGES_WITH', 'DEPENDS_ON')),
+    r1 AS (SELECT c.project, c.id AS seed, to_, weight AS part, o FROM chosen c JOIN steps s ON s.project = c.project AND s.at_ = c.id),
+    g1 AS (SELECT project, seed, to_, arg_min(part, o) AS first_, min(o) AS o FROM r1 WHERE to_ <> seed GROUP BY ALL),
+    f1 AS (SELECT *, printf('%09d', row_number() OVER (PARTITION BY project, seed ORDER BY o)) AS pos FROM g1),
+    r2 AS (SELECT f.project, seed, s.to_, first_ * weight AS part, pos || s.o AS o FROM f1 f JOIN steps s ON s.project = f.project AND s.at_ = f.to_),
+    f2 AS (SELECT r.project, r.seed, r.to_, arg_min(r.part, r.o) AS first_ FROM r2 r LEFT JOIN g1 ON g1.project = r.project AND g1.seed = r.seed AND g1.to_ = r.to_ WHERE r.to_ <> r.seed AND g1.to_ IS NULL GROUP BY ALL),
+    r3 AS (SELECT f.project, seed, s.to_, first_ * weight AS part FROM f2 f JOIN steps s ON s.project = f.project AND s.at_ = f.to_),
+    taken AS (SELECT project, seed, to_, part, 1 AS depth FROM r1 UNION ALL SELECT project, seed, to_, part, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3),
+    radius AS (SELECT project, seed, to_ AS id, sum(part) AS score, min(depth) AS depth FROM taken WHERE to_ <> seed GROUP BY ALL)"""
+
+
+def _radius(spark: SparkSession, root: str) -> DataFrame:
+    n, e = graph_parts(spark, root)
+    return graph.blast_radius(e, stored(_some_nodes(n)).withColumnRenamed("id", "seed"), depth=3)
+
+
+@_query(f"WITH {_RADIUS} SELECT project, seed, id, round(score, 6) AS score, depth FROM radius")
 def blast_radius_whole(spark: SparkSession, root: str) -> DataFrame:
     """What a change of a fiftieth of the whole graph's nodes reaches within three steps."""
+    return _radius(spark, root).withColumn("score", F.round("score", 6))
+
+
+@_query(
+    f"""WITH {_RADIUS}, at_file AS (SELECT project, 'symbol:' || file || '::' || name AS id, file FROM symbols_ UNION SELECT project, 'file:' || file, file FROM files_ UNION SELECT project, 'todo:' || file || ':' || line, file FROM todos_)
+    SELECT project, seed, count(DISTINCT file) AS files, count(*) AS nodes FROM radius LEFT JOIN at_file USING (project, id) GROUP BY ALL"""
+)
+def affected_files(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct files and nodes that each of these changes reaches."""
+    return graph.affected_files(_radius(spark, root), graph_parts(spark, root)[0])
+
+
+@_query(
+    f"""WITH {_WHOLE_GRAPH} SELECT project, id, other, round(max(weight), 6) AS weight FROM (
+      SELECT project, src AS id, dst AS other, weight FROM edges_ WHERE type = 'CO_CHANGES_WITH' AND weight >= 0.4
+      UNION ALL SELECT project, dst, src, weight FROM edges_ WHERE type = 'CO_CHANGES_WITH' AND weight >= 0.4) WHERE (project, id) IN (SELECT project, id FROM nodes_) GROUP BY ALL"""
+)
+def co_changes_of_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """What changes together with each file that is a node."""
     n, e = graph_parts(spark, root)
-    return graph.blast_radius(e, stored(_some_nodes(n)).withColumnRenamed("id", "seed"), depth=3).withColumn("score", F.round("score", 6))
+    return graph.co_changes_of(e, n.select("project", "id"), 0.4).withColumn("weight", F.round("weight", 6))
 
 
-@_query()
+@_query(f"WITH {_WHOLE_GRAPH} SELECT project, type, src, dst, round(weight, 6) AS weight, occurrences FROM edges_")
 def graph_edges_whole(spark: SparkSession, root: str) -> DataFrame:
-    return graph_parts(spark, root)[1].select("project", "type", "src", "dst", "weight", "occurrences")
+    return graph_parts(spark, root)[1].select("project", "type", "src", "dst", F.round("weight", 6).alias("weight"), "occurrences")
 
 
-@_query()
+@_query(f"WITH {_WHOLE_GRAPH} SELECT project, id, type FROM nodes_")
 def graph_nodes_whole(spark: SparkSession, root: str) -> DataFrame:
     return graph_parts(spark, root)[0].select("project", "id", "type")
 
 
-@_query()
+@_query(f"WITH {_WHOLE_GRAPH} SELECT project, id, count(*) AS degree FROM (SELECT project, src AS id FROM edges_ UNION ALL SELECT project, dst FROM edges_) GROUP BY ALL")
 def node_degree_whole(spark: SparkSession, root: str) -> DataFrame:
     return graph.degrees(graph_parts(spark, root)[1])
 
@@ -726,13 +829,16 @@ def exported_edges_whole(spark: SparkSession, root: str) -> DataFrame:
     return graph.exported_edges(graph_parts(spark, root)[1])
 
 
-@_query()
+@_query(
+    f"""WITH {_WHOLE_GRAPH}, d AS (SELECT project, id, count(*) AS degree FROM (SELECT project, src AS id FROM edges_ UNION ALL SELECT project, dst FROM edges_) GROUP BY ALL)
+    SELECT n.project, n.id, n.type, coalesce(degree, 0) AS degree, round(2 + log2(coalesce(degree, 0) + 1), 6) AS size FROM nodes_ n LEFT JOIN d USING (project, id)"""
+)
 def exported_nodes_whole(spark: SparkSession, root: str) -> DataFrame:
     out = graph.exported_nodes(*graph_parts(spark, root))
     return out.select("project", "id", "type", "degree", F.round(graph.node_size(F.col("degree")), 6).alias("size"))
 
 
-@_query()
+@_query(f"WITH {_WHOLE_GRAPH}, kept AS (SELECT project, id FROM nodes_ WHERE type IN ('file', 'todo')) SELECT project, type, src, dst FROM edges_ e WHERE (project, src) IN (FROM kept) AND (project, dst) IN (FROM kept)")
 def visible_links_whole(spark: SparkSession, root: str) -> DataFrame:
     n, e = graph_parts(spark, root)
     return graph.visible_links(n.filter("type IN ('file', 'todo')"), e).select("project", "type", "src", "dst")

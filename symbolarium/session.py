@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _stored: dict[str, list[str]] = {}
+_built: dict[str, dict[tuple, tuple[DataFrame, ...]]] = {}
 
 
 def _local_folder() -> str:
@@ -89,8 +91,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def built(spark: SparkSession, key: tuple, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """The tables that ``make`` gives, stored once for each ``key`` and session until :func:`release` is called.
+
+    ``key`` must tell apart all states of the inputs.
+    """
+    known = _built.setdefault(spark.sparkContext.applicationId, {})
+    if key not in known:
+        known[key] = tuple(stored(df) for df in make())
+    return known[key]
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that :func:`stored` has made so far; results that read them can't be read after that."""
+    _built.pop(spark.sparkContext.applicationId, None)
     for path in _stored.pop(spark.sparkContext.applicationId, []):
         at, fs = _file(spark, path)
         fs.delete(at, True)
