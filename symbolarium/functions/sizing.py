@@ -25,9 +25,12 @@ def _leaves(plan) -> list:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files below ``df``, as their footers and listings tell; inputs of unknown size count as nothing."""
-    sizes = [int(str(x.stats().sizeInBytes())) for x in _leaves(df._jdf.queryExecution().optimizedPlan())]
-    return sum(s for s in sizes if s < _UNKNOWN)
+    """Bytes of the files below ``df``, as their listings tell, each once; inputs that aren't files count as nothing, as Spark can only guess their size."""
+    sizes = {}
+    for leaf in _leaves(df._jdf.queryExecution().optimizedPlan()):
+        if leaf.nodeName() == "LogicalRelation" and (size := int(str(leaf.stats().sizeInBytes()))) < _UNKNOWN:
+            sizes[leaf.relation().toString() + leaf.relation().location().rootPaths().mkString(",")] = size
+    return sum(sizes.values())
 
 
 def parts(df: DataFrame, unit: int = PARTITION_BYTES) -> int:

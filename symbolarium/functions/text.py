@@ -126,6 +126,16 @@ def without_comment_marks(text: Column) -> Column:
     return t
 
 
+def is_commit_hash(c: Column) -> Column:
+    """Whether a text is a full commit hash: 40 hexadecimal digits in lower case. Null stays null."""
+    return c.rlike("^[0-9a-f]{40}$")
+
+
+def counted_fields(text: Column) -> Column:
+    """How many non-empty parts spaces, line ends and bars separate; another rough count of tokens."""
+    return F.size(F.filter(F.split(text, "[ \t\r\n|]+"), lambda w: w != ""))
+
+
 def estimated_tokens(text: Column) -> Column:
     """A rough count: a quarter of the bytes."""
     return F.floor(F.octet_length(text) / 4)

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symbolarium.functions.ranking import placed
+from symbolarium.functions.text import escape
+
 # Order in which states suggest a next action, and in which context exports list them.
 NEXT_ORDER = ["planned", "unstable", "unused", "abandoned"]
 EXPORT_ORDER = ["unstable", "unused", "abandoned", "planned", "active"]
+#: States of symbols.
+STATES = ["active", "planned", "unstable", "unused", "abandoned", "ignored"]
+#: What is to be done in a state.
+NEXT_WORDS = {"planned": "finish", "unstable": "stabilise", "unused": "use or remove", "abandoned": "revive or remove"}
 #: Order of intent types.
 TYPE_ORDER = ["fixme", "todo", "question", "refactor", "hack", "temporary"]
 
@@ -61,6 +68,46 @@ def next_action(symbols: DataFrame, group: list[str]) -> DataFrame:
     return symbols.filter(F.col("state").isin(*NEXT_ORDER)).groupBy(*group).agg(best).select(*group, "b.state", "b.file", "b.name")
 
 
+def next_action_text(state: Column, name: Column, file: Column) -> Column:
+    """What a next action asks for, in words."""
+    verb = F.create_map(*[F.lit(x) for pair in NEXT_WORDS.items() for x in pair])[state]
+    return F.concat(verb, F.lit(" "), name, F.lit(" in "), file)
+
+
+def first_definitions(facts: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Of the definitions of equal ``keys`` (file and name, with what they belong to) the first by ``order``; null keys are keys."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return facts.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def files_by_size(symbols: DataFrame, group: list[str]) -> DataFrame:
+    """``group..., file, symbols, place``: files by their number of symbols, most first, then by name."""
+    n = symbols.groupBy(*group, "file").agg(F.count(F.lit(1)).alias("symbols"))
+    return placed(n, group, [F.col("symbols").desc(), F.col("file")])
+
+
+def without_states(symbols: DataFrame, states: list[str]) -> DataFrame:
+    """Symbols but those of the given states; symbols without a state stay."""
+    return symbols.filter(~F.coalesce(F.col("state"), F.lit("")).isin(*states)) if states else symbols
+
+
+def log_view(symbols: DataFrame, states: list[str]) -> DataFrame:
+    """Symbols of the given states, all for none; an unknown state is an error."""
+    unknown = sorted({s.strip().lower() for s in states} - set(STATES))
+    if unknown:
+        raise ValueError(f"unknown states: {', '.join(unknown)}; known are {', '.join(STATES)}")
+    return symbols.filter(F.col("state").isin(*[s.strip().lower() for s in states])) if states else symbols
+
+
+#: Columns of the dumps of symbols, todos and intents.
+DUMPS = {"symbols": ["file", "name", "type", "churn_count"], "todos": ["file", "line", "type", "text"], "intents": ["id", "type", "severity", "status", "message"]}
+
+
+def dump(df: DataFrame, kind: str, group: list[str]) -> DataFrame:
+    """``group..., line``: rows as records of the dump's columns, escaped; nulls are empty."""
+    return df.select(*group, F.concat_ws("|", *[escape(F.col(c)) for c in DUMPS[kind]]).alias("line"))
+
+
 def contains_any(columns: list[str], query: str) -> Column:
     """Whether one of the columns contains the text, in any case; an empty text is in all rows."""
     found = F.lit(query == "")

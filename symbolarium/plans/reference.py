@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbolarium.functions import globs, paths, text
+from symbolarium.functions import globs, paths, ranking, text
 from symbolarium.functions import normalise as N
 from symbolarium.functions.sizing import attach
 from symbolarium.operators import cochange, current, extract, graph, reports, score, similarity, snapshots
@@ -1135,6 +1135,128 @@ def intent_records(spark: SparkSession, root: str) -> DataFrame:
     return intent_rows.records(table(spark, root, "intent_updates"))
 
 
+# ---- orders, first ones and subsets ----
+
+
+def _place_sql(source: str, order: str, columns: str, group: str = "project") -> str:
+    return f"SELECT {columns}, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS place FROM {source}"
+
+
+@_query(f"WITH {SYMBOLS} {_place_sql('symbols_', 'file, name', 'project, file, name')}")
+def ordered_symbols(spark: SparkSession, root: str) -> DataFrame:
+    """Symbols of each project by file and name."""
+    return ranking.placed(symbols(spark, root).select("project", "file", "name"), ["project"], [F.col("file"), F.col("name")])
+
+
+@_query(f"WITH {_WHOLE_GRAPH} {_place_sql('nodes_', 'id', 'project, id')}")
+def ordered_nodes(spark: SparkSession, root: str) -> DataFrame:
+    return ranking.placed(graph_parts(spark, root)[0].select("project", "id"), ["project"], [F.col("id")])
+
+
+@_query(f"WITH {_RADIUS}, r AS (SELECT project, seed, id, round(score, 6) AS score FROM radius) {_place_sql('r', 'score DESC, id', 'project, seed, id', 'project, seed')}")
+def ordered_radius(spark: SparkSession, root: str) -> DataFrame:
+    """What each change reaches, most affected first, then by id."""
+    rows = _radius(spark, root).select("project", "seed", "id", F.round("score", 6).alias("score"))
+    return ranking.placed(rows, ["project", "seed"], [F.col("score").desc(), F.col("id")]).drop("score")
+
+
+@_query(f"WITH {_COCHANGE}, r AS (SELECT project, file_a, file_b, round(jaccard, 9) AS j FROM cochange_) {_place_sql('r', 'j DESC, file_a || file_b, file_a', 'project, file_a, file_b')}")
+def ordered_cochange(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs by their index, highest first, then by both paths."""
+    rows = cochange.co_changes(commit_files(spark, root)).select("project", "file_a", "file_b", F.round("jaccard", 9).alias("j"))
+    return ranking.placed(rows, ["project"], [F.col("j").desc(), F.concat("file_a", "file_b"), F.col("file_a")]).drop("j")
+
+
+@_query(
+    f"""WITH {INTENTS} {_place_sql('intents_', "severity DESC NULLS LAST, coalesce(list_position(['fixme', 'todo', 'question', 'refactor', 'hack', 'temporary'], type), 7), id", 'project, id')}"""
+)
+def ordered_intents(spark: SparkSession, root: str) -> DataFrame:
+    """Intents by severity, highest first, then by the order of types, then by id."""
+    rows = intents(spark, root).select("project", "id", "severity", "type")
+    rank = F.coalesce(reports.type_rank(F.col("type")), F.lit(len(reports.TYPE_ORDER) + 1))
+    return ranking.placed(rows, ["project"], [F.col("severity").desc_nulls_last(), rank, F.col("id")]).select("project", "id", "place")
+
+
+@_query(f"WITH {SYMBOLS}, t AS (SELECT project, file, name, coalesce(state, '') || '|' || name AS cell FROM symbols_) {_place_sql('t', 'cell, file, name', 'project, file, name')}")
+def ordered_cells(spark: SparkSession, root: str) -> DataFrame:
+    """A table sorted by the text of a cell, here state and name, ties by what identifies a row."""
+    rows = symbols(spark, root).select("project", "file", "name", F.concat(F.coalesce("state", F.lit("")), F.lit("|"), "name").alias("cell"))
+    return ranking.placed(rows, ["project"], [F.col("cell"), F.col("file"), F.col("name")]).drop("cell")
+
+
+@_query(f"WITH {SYMBOLS}, n AS (SELECT project, file, count(*) AS symbols FROM symbols_ GROUP BY ALL) {_place_sql('n', 'symbols DESC, file', 'project, file, symbols')}")
+def files_by_size(spark: SparkSession, root: str) -> DataFrame:
+    return reports.files_by_size(symbols(spark, root), ["project"])
+
+
+@_query(
+    f"""WITH {SYMBOLS}, {TODOS} SELECT project, file, line, (SELECT greatest(count(*) - 3, 0) FROM todos_ WHERE NOT resolved) AS more FROM todos_ WHERE NOT resolved
+    QUALIFY row_number() OVER (ORDER BY project, file, line) <= 3"""
+)
+def first_todos(spark: SparkSession, root: str) -> DataFrame:
+    """The first three open todos of all and how many more there are."""
+    rows = todos(spark, root).filter("NOT resolved").select("project", "file", "line")
+    return ranking.first_overall(rows, [F.col("project"), F.col("file"), F.col("line")], 3)
+
+
+@_query(
+    f"""WITH {SYMBOLS}, n AS (SELECT project, state, file, name FROM symbols_ WHERE state IN ('planned', 'unstable', 'unused', 'abandoned')
+      QUALIFY row_number() OVER (PARTITION BY project ORDER BY list_position(['planned', 'unstable', 'unused', 'abandoned'], state), file, name) = 1)
+    SELECT project, CASE state WHEN 'planned' THEN 'finish' WHEN 'unstable' THEN 'stabilise' WHEN 'unused' THEN 'use or remove' ELSE 'revive or remove' END || ' ' || name || ' in ' || file AS action FROM n"""
+)
+def next_action_words(spark: SparkSession, root: str) -> DataFrame:
+    found = reports.next_action(symbols(spark, root), ["project"])
+    return found.select("project", reports.next_action_text(F.col("state"), F.col("name"), F.col("file")).alias("action"))
+
+
+@_query(
+    f"""WITH {SOURCES}, {DEFINITIONS} SELECT project, path, name, min(line_no) AS line FROM definitions_ WHERE name IS NOT NULL GROUP BY ALL"""
+)
+def first_definitions(spark: SparkSession, root: str) -> DataFrame:
+    """The first definition of each name of a file; of a path that several documents hold, the first line of all."""
+    found = extract.definitions(lined(spark, root)).select("project", "path", "name", F.col("line_no").alias("line"), "doc_id")
+    return reports.first_definitions(found, ["project", "path", "name"], [F.col("line"), F.col("doc_id")]).drop("doc_id")
+
+
+@_query(f"WITH {SYMBOLS} SELECT project, file, name, state FROM symbols_ WHERE coalesce(state, '') NOT IN ('unstable', 'abandoned')")
+def without_states(spark: SparkSession, root: str) -> DataFrame:
+    return reports.without_states(symbols(spark, root), ["unstable", "abandoned"]).select("project", "file", "name", "state")
+
+
+@_query(f"WITH {SYMBOLS} SELECT project, file, name, state FROM symbols_ WHERE state IN ('unused', 'planned')")
+def log_view(spark: SparkSession, root: str) -> DataFrame:
+    return reports.log_view(symbols(spark, root), [" Unused", "planned"]).select("project", "file", "name", "state")
+
+
+_ESCAPED = r"replace(replace(replace(%s, '\', '\\'), chr(10), '\n'), '|', '\|')"
+
+
+def _dump_sql(*columns: str) -> str:
+    return " || '|' || ".join(_ESCAPED % f"coalesce({c}::VARCHAR, '')" for c in columns)
+
+
+@_query(
+    f"""WITH {SYMBOLS}, {TODOS}, {INTENTS} SELECT project, 'symbols' AS dump, {_dump_sql('file', 'name', 'type', 'churn_count')} AS line FROM symbols_
+    UNION ALL SELECT project, 'todos', {_dump_sql('file', 'line', 'type', 'text')} FROM todos_ UNION ALL SELECT project, 'intents', {_dump_sql('id', 'type', 'severity', 'status', 'message')} FROM intents_"""
+)
+def dumps(spark: SparkSession, root: str) -> DataFrame:
+    """Symbols, todos and intents as records of chosen columns."""
+    parts = [reports.dump(df(spark, root), kind, ["project"]).withColumn("dump", F.lit(kind)) for kind, df in (("symbols", symbols), ("todos", todos), ("intents", intents))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query("SELECT project, regexp_full_match(lower(hash), '[0-9a-f]{40}') AS full_hash, count(*) AS n FROM commits GROUP BY ALL")
+def commit_hashes(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "commits").select("project", text.is_commit_hash(F.lower("hash")).alias("full_hash"))
+    return rows.groupBy("project", "full_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT source, sum(len(list_filter(string_split_regex(text, '[ \t\r\n|]+'), lambda w: w <> '')))::BIGINT AS fields FROM documents WHERE text IS NOT NULL GROUP BY source")
+def counted_fields(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").filter("text IS NOT NULL")
+    return docs.groupBy("source").agg(F.sum(text.counted_fields(F.col("text"))).alias("fields"))
+
+
 # ---- streams ----
 
 

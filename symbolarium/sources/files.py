@@ -75,6 +75,18 @@ def config(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("instructions", one)
 
 
+def chosen_sections(config_: DataFrame, sections: list[str]) -> DataFrame:
+    """``section, value`` (JSON; null for none): the named parts of a configuration in the order asked for, all for none; an unknown name is an error."""
+    unknown = [s for s in sections if s not in config_.columns]
+    if unknown:
+        raise ValueError(f"unknown sections: {', '.join(unknown)}")
+    names = list(sections) or config_.columns
+    kinds = dict(config_.dtypes)
+    value = [F.col(c) if kinds[c] == "string" else F.to_json(c) for c in names]
+    rows = F.posexplode(F.array(*[F.struct(F.lit(c).alias("section"), v.alias("value")) for c, v in zip(names, value)])).alias("place", "x")
+    return config_.select(rows).select("place", "x.section", "x.value")
+
+
 def objects(spark: SparkSession, root: str) -> DataFrame:
     """``hash, is_delta, mtime``: stored snapshots, two characters of the hash as a folder, the rest as name. Contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("modificationTime").alias("mtime"))
