@@ -112,6 +112,23 @@ def change_size(hunks: DataFrame, keys: list[str]) -> DataFrame:
     return hunks.groupBy(*keys).agg(F.when(F.max("is_new"), grown).otherwise(edited).cast("int").alias("change_size"))
 
 
+def symbol_commits(symbols: DataFrame, hunks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., name, line, hash, ts, size``: the commits that changed lines of a symbol, with how much they changed of it.
+
+    ``symbols`` has ``keys`` (project and file), ``name, line, end_line``; ``hunks`` has ``keys, hash, ts, start, length, changed,
+    is_new``. A hunk and a symbol overlap if either begins within the other, which makes two joins by buckets of
+    lines. Removals (length 0) count at the line they follow. Symbols of unknown ends have no commits.
+    """
+    s = symbols.filter("end_line >= line AND line > 0").select(*keys, "name", "line", "end_line")
+    h = hunks.filter("start IS NOT NULL").select(*keys, "hash", "ts", "changed", "is_new", F.greatest("start", F.lit(1)).alias("start"), F.greatest("length", F.lit(1)).alias("length"))
+    h = h.withColumn("stop", F.col("start") + F.col("length") - 1)
+    within = s.withColumn("__b", F.explode(range_keys("line", "end_line"))).join(h.withColumn("__b", F.explode(point_keys("start"))), [*keys, "__b"]).filter("start BETWEEN line AND end_line")
+    around = h.withColumn("__b", F.explode(range_keys("start", "stop"))).join(s.withColumn("__b", F.explode(point_keys("line"))), [*keys, "__b"]).filter("line > start AND line <= stop")
+    met = within.drop("__b").unionByName(around.drop("__b")).withColumnsRenamed({"line": "first", "end_line": "last"})
+    own = [*keys, "name", "first", "hash", "ts"]
+    return change_size(met, own).withColumnsRenamed({"first": "line", "change_size": "size"})
+
+
 def hunk(header: Column) -> Column:
     """Start and length of a hunk's new side; a missing length is 1."""
     at = r"@@ -\d+,?\d* \+(\d+),?(\d*) @@"

@@ -17,7 +17,7 @@ from symbolarium.functions.sizing import attach
 from symbolarium.operators import cochange, current, extract, graph, reports, score, similarity, snapshots
 from symbolarium.plans import sql
 from symbolarium.session import built, checkpoint_dir, stored
-from symbolarium.sources import delimited, state_of, table
+from symbolarium.sources import delimited, state_of, states, store, table
 from symbolarium.sources.languages import CONFIDENCE, LANGUAGES
 from symbolarium.streaming import deliveries
 
@@ -1135,6 +1135,64 @@ def intent_records(spark: SparkSession, root: str) -> DataFrame:
     return intent_rows.records(table(spark, root, "intent_updates"))
 
 
+# ---- state files, the store of snapshots, repeated analysis ----
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(
+    f"""WITH {SYMBOLS}, {TODOS}
+    SELECT project, 'symbol' AS kind, file, name AS item, line, coalesce(state, '') AS state, printf('%.2f', coalesce(confidence, 0))::DOUBLE AS confidence, coalesce(churn_count, 0) AS churn, touched FROM symbols_
+    UNION ALL SELECT project, 'todo', file, trim(text, ' '), line, coalesce(type, ''), NULL, NULL, NULL FROM todos_"""
+)
+def state_files(spark: SparkSession, root: str) -> DataFrame:
+    """Symbols and todos of state files that were written and read again."""
+    s, t = symbols(spark, root), todos(spark, root)
+    names = {"lang": "language", "called": "is_called", "todo": "has_todo", "churn": "churn_count", "instability": "instability_score", "marker": "intent_marker", "source": "signal_source", "touched": "last_touched"}
+    at = _snaps(spark, root).filter("ord = n - 1").select("project", F.lit(states.VERSION).alias("version"), F.timestamp_seconds("at").alias("updated_at"))
+    parts = {"state": at, "symbols": s.withColumns({k: F.col(v) for k, v in names.items()}), "todos": t.withColumn("text", F.btrim("text", F.lit(" ")))}
+    path = _folder(spark, "states")
+    states.write(states.lines(parts), path)
+    found = stored(states.read(spark, path))
+    read = states.table(found, "symbols").select(
+        "project", F.lit("symbol").alias("kind"), "file", F.col("name").alias("item"), "line", "state", "confidence", "churn", F.unix_timestamp("touched").alias("touched")
+    )
+    open_ = states.table(found, "todos").select("project", F.lit("todo").alias("kind"), "file", F.col("text").alias("item"), "line", F.col("type").alias("state"))
+    return read.unionByName(open_, allowMissingColumns=True)
+
+
+@_query(f"WITH {_WHOLE} SELECT project, kind, file, item, state, confidence, churn_count, instability_score FROM last_")
+def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    """Each project's latest snapshot, by its name, from a store that keeps every third snapshot whole and of the others what changed."""
+    path = _folder(spark, "store")
+    snaps = stored(_snaps(spark, root))
+    new = snaps.select("project", F.col("snapshot_hash").alias("hash"), "at")
+    rows = stored(_all_entries(spark, root).select("project", "ord", "n", *_ENTRY, *_VALUES))
+    store.save(new, rows, path, _ENTRY, _VALUES, 3)
+    store.refer(new.select("project", F.lit("latest").alias("ref"), "hash", "at"), path)
+    names = store.referred(spark, path).filter("ref = 'latest'").select("project", "hash")
+    found = store.load(spark, path, names.select("hash"), _ENTRY)
+    return attach(found, names.select("project", F.col("hash").alias("target")), ["target"]).select("project", *_ENTRY, *_VALUES)
+
+
+_LISTED = f"""listed AS (SELECT project, {sql.path('file')} AS path, max(harvested_at) AS mtime FROM documents WHERE source = 'source_file' AND project IS NOT NULL AND file IS NOT NULL GROUP BY ALL)"""
+
+
+@_query(
+    f"""WITH {_LISTED} SELECT project, path, CASE WHEN mtime IS NULL THEN 'extract' WHEN hour(mtime) % 3 = 0 THEN 'new' WHEN hour(mtime) % 3 = 1 THEN 'extract' ELSE 'reuse' END AS route FROM listed
+    """
+)
+def rescan_routes(spark: SparkSession, root: str) -> DataFrame:
+    """What a second analysis does with each file, where a third of the files is new and a third was touched since the first."""
+    files = table(spark, root, "documents").filter("source = 'source_file' AND project IS NOT NULL AND file IS NOT NULL")
+    listed = files.groupBy("project", N.path("file").alias("path")).agg(F.max("harvested_at").alias("mtime"))
+    hour = F.coalesce(F.hour("mtime") % 3, F.lit(1))
+    known = listed.filter(hour > 0).select("project", "path", F.when(hour == 2, F.col("mtime")).alias("mtime"))
+    return snapshots.rescan(listed, known.withColumn("mtime", F.coalesce("mtime", F.lit("1970-01-01").cast("timestamp_ntz"))), ["project", "path"]).select("project", "path", "route")
+
+
 # ---- orders, first ones and subsets ----
 
 

@@ -5,6 +5,7 @@ For the one repository an agent works in; the commits of many repositories come
 
 from __future__ import annotations
 
+import re
 import subprocess
 from datetime import UTC, datetime
 
@@ -39,3 +40,23 @@ def head(spark: SparkSession, root: str) -> DataFrame:
     except (subprocess.CalledProcessError, FileNotFoundError):
         return spark.createDataFrame([], "hash STRING, branch STRING, dirty BOOLEAN, user STRING")
     return spark.createDataFrame([row], "hash STRING, branch STRING, dirty BOOLEAN, user STRING")
+
+
+_HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@")
+
+
+def hunks(spark: SparkSession, root: str, most: int = 1000) -> DataFrame:
+    """``hash, ts, file, start, length, changed, is_new``: the changed stretches of the newest commits, by the file's new lines.
+
+    ``changed`` is the number of lines added and removed, ``is_new`` true for files that the commit made.
+    """
+    rows: list[tuple] = []
+    for block in _git(root, "log", f"-{most}", "-p", "--unified=0", "--no-renames", "--no-color", "--format=%x01%H%x02%ct%x02").split("\x01")[1:]:
+        hash_, at, body = block.split("\x02", 2)
+        for part in re.split(r"(?m)^diff --git ", body)[1:]:
+            name = re.search(r"(?m)^\+\+\+ (?:b/)?(.*)$", part)
+            pieces = _HUNK.split(part)  # what precedes, then start, length and lines of each hunk
+            for start, length, text in zip(pieces[1::3], pieces[2::3], pieces[3::3]):
+                changed = sum(line[:1] in ("+", "-") for line in text.split("\n")[1:])
+                rows.append((hash_, int(at), name[1], int(start), int(length or 1), changed, "\nnew file mode" in part))
+    return spark.createDataFrame(rows, "hash STRING, ts LONG, file STRING, start INT, length INT, changed INT, is_new BOOLEAN")
