@@ -32,3 +32,22 @@ def first_overall(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows with ``more``, the number of those left out: each task sends its own first ``n``."""
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     return df.orderBy(*order).limit(n).crossJoin(F.broadcast(total)).withColumn("more", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n")  # one row
+
+
+def percentiles(df: DataFrame, group: list[str], value: str, q: Column) -> DataFrame:
+    """``group..., n, percentile``: the exact percentile of each group, linear between ranks; ``q`` may depend on the group.
+
+    Null values don't count; groups without a value have no row. Ranks are those of :func:`placed`, so that no
+    state grows with a group.
+    """
+    kept = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
+    ranked = placed(kept, group, [F.col("__v")], "__place")
+    n = ranked.groupBy(*group).agg(F.max("__place").alias("n"))
+    on = F.lit(True)
+    for c in group:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    met = ranked.alias("a").join(n.alias("b"), on).select(*[F.col(f"a.{c}").alias(c) for c in group], "__v", "n", "__place")
+    rank = q * (F.col("n") - 1)
+    near = met.withColumn("__rank", rank).filter((F.col("__place") - 1 >= F.floor("__rank")) & (F.col("__place") - 1 <= F.ceil("__rank")))
+    low, high = F.min("__v"), F.max("__v")
+    return near.groupBy(*group, "n").agg((low + (high - low) * (F.max("__rank") - F.floor(F.max("__rank")))).alias("percentile"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symbolarium.functions.ranking import percentiles
+
 # Days of the decay, newest commits that count, hours of an activity window.
 TAU, NEWEST, WINDOW_HOURS = 30.0, 50, 24
 #: Lines of a bucket of the finest level in range joins, the factor between levels, and how many there are: the coarsest has a billion lines.
@@ -149,12 +151,18 @@ def intent_weight(symbols: DataFrame, intents: DataFrame, keys: list[str], as_of
 
 def thresholds(symbols: DataFrame, group: list[str], as_of: Column) -> DataFrame:
     """``group..., score_p90, age_p75``: exact percentiles of positive scores, and of the ages in days of
-    symbols that aren't called and have neither mark nor todo. Null where there is no value."""
+    symbols that aren't called and have neither mark nor todo. Null where there is no value.
+
+    By ranks over ranges, so that no task holds a group's values."""
     score = F.col("instability_score")
     idle = ~F.col("is_called") & (F.coalesce("intent_marker", F.lit("")) == "") & ~F.col("has_todo")
     age = (as_of - F.col("touched")) / 86400.0
     good = (score > 0) & ~F.isnan(score) & (score < float("inf"))
-    return symbols.groupBy(*group).agg(F.percentile(F.when(good, score), F.lit(0.9)).alias("score_p90"), F.percentile(F.when(idle, age), F.lit(0.75)).alias("age_p75"))
+    both = F.explode(F.array(F.struct(F.lit("score").alias("kind"), F.when(good, score).alias("v")), F.struct(F.lit("age").alias("kind"), F.when(idle, age.cast("double")).alias("v")))).alias("x")
+    found = percentiles(symbols.select(*group, both).select(*group, "x.kind", "x.v"), [*group, "kind"], "v", F.when(F.col("kind") == "score", 0.9).otherwise(0.75))
+    one = {k: F.max(F.when(F.col("kind") == k, F.col("percentile"))) for k in ("score", "age")}
+    limits = found.groupBy(*group).agg(one["score"].alias("score_p90"), one["age"].alias("age_p75"))
+    return symbols.select(*group).distinct().join(limits, group, "left")
 
 
 def classify(symbols: DataFrame, limits: DataFrame, group: list[str], as_of: Column) -> DataFrame:

@@ -1037,7 +1037,18 @@ def ton_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return delimited.parsed(written, ["doc_id", "text", "source"]).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-@_query()
+_ESC = r"replace(replace(replace(%s, '\\', '\\\\'), chr(10), '\\n'), '|', '\\|')"
+
+
+def _record_sql(*columns: str) -> str:
+    return " || '|' || ".join(_ESC % f"coalesce(({c})::VARCHAR, '')" for c in columns)
+
+
+@_query(
+    f"""WITH {SYMBOLS}, {TODOS}, {INTENTS} SELECT project, 0::BIGINT AS section, 'intents' AS title, {_record_sql('id', 'type', 'severity', 'message')} AS line FROM intents_ WHERE status = 'active'
+    UNION ALL SELECT project, list_position(['unstable', 'unused', 'abandoned', 'planned', 'active'], state)::BIGINT, state, {_record_sql('file', 'name', 'line', 'type')} FROM symbols_ WHERE state IN ('unstable', 'unused', 'abandoned', 'planned', 'active')
+    UNION ALL SELECT project, 9, 'todos', {_record_sql('file', 'line', 'type', 'text')} FROM todos_ WHERE NOT resolved"""
+)
 def context_export(spark: SparkSession, root: str) -> DataFrame:
     return delimited.export_lines(symbols(spark, root), todos(spark, root), intents(spark, root))
 
@@ -1047,9 +1058,6 @@ def context_hash_valid(spark: SparkSession, root: str) -> DataFrame:
     return delimited.verified(delimited.context_text(context_export(spark, root))).select("project", "valid")
 
 
-_ESC = r"replace(replace(replace(%s, '\\', '\\\\'), chr(10), '\\n'), '|', '\\|')"
-
-
 @_query(
     f"""WITH {SYMBOLS}, {TODOS}, {INTENTS}
     SELECT project, 'intents' AS section, id || '|' || {_ESC % "coalesce(type, '')"} || '|' || coalesce(severity::VARCHAR, '') || '|' || status || '|' || {_ESC % "coalesce(message, '')"} AS line FROM intents_ WHERE status = 'active'
@@ -1128,7 +1136,10 @@ def token_estimates(spark: SparkSession, root: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(text.estimated_tokens(F.col("text"))).alias("estimated"))
 
 
-@_query()
+_PACKED = "CASE WHEN resolution IS NULL THEN '' ELSE concat_ws(':', coalesce(resolution.method, ''), coalesce(resolution.description, ''), coalesce(epoch(resolution.resolved_at)::BIGINT::VARCHAR, ''), coalesce(resolution.resolved_by, '')) END"
+
+
+@_query(f"""SELECT project, {_record_sql('id', 'type', 'severity', 'status', 'scope', 'message', "coalesce(array_to_string(tags, ','), '')", _PACKED)} AS line FROM intent_updates""")
 def intent_records(spark: SparkSession, root: str) -> DataFrame:
     from symbolarium.operators import intents as intent_rows
 
@@ -1286,11 +1297,8 @@ def log_view(spark: SparkSession, root: str) -> DataFrame:
     return reports.log_view(symbols(spark, root), [" Unused", "planned"]).select("project", "file", "name", "state")
 
 
-_ESCAPED = r"replace(replace(replace(%s, '\', '\\'), chr(10), '\n'), '|', '\|')"
-
-
 def _dump_sql(*columns: str) -> str:
-    return " || '|' || ".join(_ESCAPED % f"coalesce({c}::VARCHAR, '')" for c in columns)
+    return " || '|' || ".join(_ESC % f"coalesce({c}::VARCHAR, '')" for c in columns)
 
 
 @_query(
